@@ -278,8 +278,8 @@ FLOW_GAP_NS = 1_000_000
 def sequential_flow(spans: DataFrame, gap_ns: int = FLOW_GAP_NS, chunk_rows: int = 20_000) -> DataFrame:
     """Links between consecutive spans of a trace that are related or start close together."""
     slim = spans.select("trace_id", "span_id", "parent_span_id", "start_ns", S.is_error().alias("failed"))
-    previous = F.first(F.struct("span_id", "start_ns", "failed"))
-    paired = look_back(slim, ["trace_id"], ["start_ns", "span_id"], 1, {"before": previous}, chunk_rows)
+    before = {"before": F.struct("span_id", "start_ns", "failed")}
+    paired = look_back(slim, ["trace_id"], ["start_ns", "span_id"], 1, previous=before, chunk_rows=chunk_rows)
     related = F.coalesce(F.col("parent_span_id") == F.col("before.span_id"), F.lit(False))
     close = F.col("start_ns") - F.col("before.start_ns") < gap_ns
     return paired.filter(F.col("before").isNotNull() & (related | close)).select(

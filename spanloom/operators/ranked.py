@@ -95,25 +95,37 @@ def look_back(
     keys: Sequence[str],
     order: Sequence[str | Column],
     rows: int,
-    aggregates: dict[str, Column],
+    sums: dict[str, Column] | None = None,
+    previous: dict[str, Column] | None = None,
     chunk_rows: int = 20_000,
 ) -> DataFrame:
-    """Aggregates over the ``rows`` rows before each row of its group.
+    """Sums over the ``rows`` rows before each row of its group, and values of the row before it.
 
     Groups are cut into chunks of ``chunk_rows`` rows by row number; each chunk also gets a copy of
     the ``rows`` rows before it, so every frame is complete and no task sees more than one chunk.
+    A sum is the difference of two running sums, which costs the same for any ``rows``; measures
+    must be of an exact type. Adds ``seen``, the number of rows in the frame.
     """
     if chunk_rows < rows:
         raise ValueError("chunk_rows must be at least rows")
+    sums, previous = sums or {}, previous or {}
     numbered = ranked(df, keys, order)
     position = F.col("row_number") - 1
     chunk = F.call_function("div", position, F.lit(chunk_rows).cast("bigint"))
     feeds_next = position % chunk_rows >= chunk_rows - rows
     targets = F.when(feeds_next, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
     copies = numbered.withColumn("_home", chunk).withColumn("_chunk", F.explode(targets))
-    frame = Window.partitionBy(*keys, "_chunk").orderBy("row_number").rowsBetween(-rows, -1)
+    line = Window.partitionBy(*keys, "_chunk").orderBy("row_number")
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+    running = copies.withColumns(
+        {f"_b_{n}": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in sums.items()}
+        | {n: F.lag(c).over(line) for n, c in previous.items()}
+    )
+    framed = running.withColumns(
+        {n: F.col(f"_b_{n}") - F.coalesce(F.lag(f"_b_{n}", rows).over(line), F.lit(0)) for n in sums}
+    )
     return (
-        copies.withColumns({name: agg.over(frame) for name, agg in aggregates.items()})
-        .filter(F.col("_home") == F.col("_chunk"))
-        .drop("_home", "_chunk", "group_rows")
+        framed.filter(F.col("_home") == F.col("_chunk"))
+        .withColumn("seen", F.least(position, F.lit(rows).cast("bigint")))
+        .drop("_home", "_chunk", "group_rows", "row_number", *[f"_b_{n}" for n in sums])
     )

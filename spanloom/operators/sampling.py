@@ -106,14 +106,11 @@ def with_anomaly(
     ``span_count``, ``service_count``, ``start_ns`` and ``trace_id``.
     """
     ms = F.col("duration_ms").cast("decimal(19,0)")
-    frames = {
-        "_n": F.count(F.lit(1)),
-        "_ms": F.sum(ms),
-        "_ms2": F.sum((ms * ms).cast("decimal(38,0)")),
-        "_spans": F.sum("span_count"),
-    }
-    seen = look_back(features, list(keys), ["start_ns", "trace_id"], history, frames, max(chunk_rows, history))
-    n = F.col("_n").cast("decimal(19,0)")
+    sums = {"_ms": ms, "_ms2": (ms * ms).cast("decimal(38,0)"), "_spans": F.col("span_count")}
+    seen = look_back(
+        features, list(keys), ["start_ns", "trace_id"], history, sums, chunk_rows=max(chunk_rows, history)
+    )
+    n = F.col("seen").cast("decimal(19,0)")
     mean = F.call_function("div", F.col("_ms"), n)
     squares = F.col("_ms2") - F.lit(2) * mean * F.col("_ms") + n * mean * mean
     variance = F.call_function("div", squares.cast("decimal(38,0)"), n)
@@ -122,19 +119,19 @@ def with_anomaly(
     far = F.when(F.col("_variance") == 0, distance > 0).otherwise(
         distance / F.sqrt(F.col("_variance").cast("double")) > Z_LIMIT
     )
-    enough = F.col("_n") >= min_history
-    mean_spans = F.call_function("div", F.col("_spans"), F.col("_n"))
+    enough = F.col("seen") >= min_history
+    mean_spans = F.call_function("div", F.col("_spans"), F.col("seen"))
     odd_duration = (F.col("duration_ms") > VERY_SLOW_MS) | (F.coalesce(enough & far, F.lit(False)))
     odd_size = (F.col("span_count") > HUGE_TRACE) | F.coalesce(
-        enough & (F.col("span_count") > mean_spans * 5), F.lit(False)
+        enough & (F.col("span_count") > F.when(enough, mean_spans) * 5), F.lit(False)
     )
-    filled = F.col("_n") > 0
+    filled = F.col("seen") > 0
     return (
         seen.withColumns({"_mean": F.when(filled, mean)})
         .withColumns({"_variance": F.when(filled, variance)})
         .withColumns({"odd_duration": odd_duration, "odd_size": odd_size, "odd_fan_out": F.col("service_count") > FAN_OUT})
         .withColumn("is_anomalous", F.col("odd_duration") | F.col("odd_size") | F.col("odd_fan_out"))
-        .drop(*frames, "_mean", "_variance", "row_number")
+        .drop(*sums, "_mean", "_variance", "seen")
     )
 
 

@@ -230,7 +230,7 @@ def system_health(
 
     def points(name: str, warning: float, critical: float, low: int, high: int) -> Column:
         value = F.col(name)
-        return F.when(value > critical, F.max).when(value > warning, F.min).otherwise(0)
+        return F.when(value > critical, high).when(value > warning, low).otherwise(0)
 
     score = F.greatest(
         points("memory_mb", memory_warning_mb, memory_critical_mb, RESOURCE_WARNING_POINTS, CRITICAL_POINTS),

@@ -6,6 +6,7 @@ ORACLE: dict[str, str] = {}
 
 AS_OF = 996_710_400 * 10**9
 DAY = 86_400 * 10**9
+SHIFT = 3_652 * DAY
 
 # Common table expressions --------------------------------------------------------------------------
 _SPANS = """
@@ -293,7 +294,7 @@ _CODE = "CASE WHEN status='error' THEN '500' ELSE '200' END"
 # Sources --------------------------------------------------------------------------------------------
 _spans(
     "a1_otlp_round_trip",
-    f"""SELECT trace_id, span_id, parent_span_id, service_name, operation_name, start_ns, duration_ns, kind,
+    f"""SELECT trace_id, span_id, parent_span_id, service_name, operation_name, start_ns+{SHIFT} AS start_ns, duration_ns, kind,
         CASE WHEN status='error' THEN 'error' ELSE 'ok' END AS status,
         CASE WHEN status='error' THEN 'returned' END AS status_message,
         {_CODE} AS http_status_code, 4 AS n_attributes
@@ -706,7 +707,7 @@ sql(
 )
 _spans(
     "h7_dependencies",
-    """SELECT "from", "to", call_count, error_count, least(call_count/100.0::DOUBLE, 1.0::DOUBLE) AS strength,
+    """SELECT "from", "to", E.call_count, E.error_count, least(E.call_count/100.0::DOUBLE, 1.0::DOUBLE) AS strength,
        M.request_rate AS target_request_rate, M.error_rate AS target_error_rate, M.p95_ns AS target_p95_ns,
        (SELECT max(latency_us) FROM calls WHERE dst=E."to") AS target_max_latency_us
        FROM E LEFT JOIN M ON M.service_name=E."to" """,
@@ -1009,7 +1010,7 @@ _spans(
     """SELECT interval, rate FROM fold WHERE i > 0""",
     _FEATURES,
     f"""
-load AS (
+load AS MATERIALIZED (
   SELECT start_ns//{DAY} AS interval, count(*)/86400.0::DOUBLE AS tps,
          CAST(count(*) FILTER (WHERE has_error) AS DOUBLE)/count(*) AS error_rate,
          row_number() OVER (ORDER BY start_ns//{DAY}) AS i
@@ -1096,7 +1097,7 @@ k3 AS (SELECT * FROM k2 WHERE service_name IN (SELECT service_name FROM k2 GROUP
 # Streaming: the batch result, less what the watermark has not closed yet -----------------------------
 _spans(
     "q1_ingest",
-    """SELECT trace_id, span_id, parent_span_id, service_name, operation_name, start_ns, duration_ns, kind,
+    f"""SELECT trace_id, span_id, parent_span_id, service_name, operation_name, start_ns+{SHIFT} AS start_ns, duration_ns, kind,
        CASE WHEN status='error' THEN 'error' ELSE 'ok' END AS status FROM spans WHERE trace_id <> repeat('0', 32)""",
 )
 _CLOSED = "(SELECT max(ts_ns)//1000000*1000000 - 300000000000 FROM points)"

@@ -46,7 +46,7 @@ def _number_text(value: Column) -> Column:
     return F.when(whole, value.cast("bigint").cast("string")).when(precise, plain).otherwise(text)
 
 
-def any_value_text(value: Column, depth: int = 3) -> Column:
+def any_value_text(value: Column, depth: int = schema.NESTING) -> Column:
     """A5: AnyValue as text; arrays as ``[a, b]``, key/value lists as ``{k=v}``, bytes by length."""
     options = [
         value["stringValue"],
@@ -64,37 +64,45 @@ def any_value_text(value: Column, depth: int = 3) -> Column:
             F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")),
             F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")),
         ]
+    else:
+        options += [value["arrayValue"], value["kvlistValue"]]
     size = F.octet_length(F.unbase64(value["bytesValue"]))
     options.append(F.concat(F.lit("bytes("), size.cast("string"), F.lit(")")))
     return F.coalesce(*options, F.lit(""))
 
 
-def first_wins_map(entries: Column) -> Column:
-    """A map from ``key``/``value`` structs in which the first of equal keys counts."""
-    keys = F.transform(entries, lambda e: e["key"])
-    kept = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    return F.coalesce(F.map_from_entries(kept), F.create_map().cast("map<string,string>"))
+_ENTRIES = "array<struct<key:string,value:string>>"
+
+
+def _entry(key: Column, value: Column) -> Column:
+    return F.named_struct(F.lit("key"), key, F.lit("value"), value)
 
 
 def _text_entries(attributes: Column) -> Column:
-    """Attributes that carry a value, as key and text."""
+    """Attributes that carry a value, as key and text; an empty array when there are none."""
     present = F.filter(attributes, lambda a: a["key"].isNotNull() & a["value"].isNotNull())
-    return F.transform(
-        present, lambda a: F.struct(a["key"].alias("key"), any_value_text(a["value"]).alias("value"))
-    )
+    texts = F.transform(present, lambda a: _entry(a["key"], any_value_text(a["value"])))
+    return F.coalesce(texts, F.array().cast(_ENTRIES))
 
 
-def attribute_map(attributes: Column) -> Column:
-    return first_wins_map(F.coalesce(_text_entries(attributes), F.array().cast("array<struct<key:string,value:string>>")))
+def with_first_wins(df: DataFrame, column: str) -> DataFrame:
+    """Turns a column of ``key``/``value`` entries into a map in which the first of equal keys counts.
+
+    The keys get a column of their own, so they are worked out once per row and not per entry.
+    """
+    keys = f"_{column}_keys"
+    first = F.filter(column, lambda e, i: F.array_position(F.col(keys), e["key"]) == i + 1)
+    return (
+        df.withColumn(keys, F.transform(column, lambda e: e["key"]))
+        .withColumn(column, F.map_from_entries(first))
+        .drop(keys)
+    )
 
 
 # A6 -----------------------------------------------------------------------------------------------
 def event_entries(events: Column) -> Column:
     """``event.{i}.name``, ``.time`` (RFC 3339) and ``.{key}`` of every span event."""
 
-    def entry(key: Column, value: Column) -> Column:
-        return F.struct(key.alias("key"), value.alias("value"))
-
     def one(event: Column, i: Column) -> Column:
         head = F.concat(F.lit("event."), i.cast("string"), F.lit("."))
         ns = F.coalesce(event["timeUnixNano"].try_cast("bigint"), F.lit(0).cast("bigint"))
@@ -107,13 +115,13 @@ def event_entries(events: Column) -> Column:
             .otherwise(F.concat(F.lit("."), F.lpad(part.cast("string"), 9, "0")))
         )
         fixed = F.array(
-            entry(F.concat(head, F.lit("name")), F.coalesce(event["name"], F.lit(""))),
-            entry(F.concat(head, F.lit("time")), F.concat(whole, digits, F.lit("+00:00"))),
+            _entry(F.concat(head, F.lit("name")), F.coalesce(event["name"], F.lit(""))),
+            _entry(F.concat(head, F.lit("time")), F.concat(whole, digits, F.lit("+00:00"))),
         )
-        extra = F.transform(_text_entries(event["attributes"]), lambda a: entry(F.concat(head, a["key"]), a["value"]))
-        return F.concat(fixed, F.coalesce(extra, F.array().cast("array<struct<key:string,value:string>>")))
+        extra = F.transform(_text_entries(event["attributes"]), lambda a: _entry(F.concat(head, a["key"]), a["value"]))
+        return F.concat(fixed, extra)
 
-    return F.flatten(F.transform(events, one))
+    return F.coalesce(F.flatten(F.transform(events, one)), F.array().cast(_ENTRIES))
 
 
 # A7 -----------------------------------------------------------------------------------------------
@@ -131,11 +139,6 @@ def status_name(code: Column) -> Column:
 
 
 # A4 -----------------------------------------------------------------------------------------------
-def resource_value(attributes: Column, key: str) -> Column:
-    """Text of the first resource attribute with this key."""
-    return F.try_element_at(attribute_map(attributes), F.lit(key))
-
-
 def resource_columns(df: DataFrame, resource_map: str = "resource_attributes", default_service: str = "unknown") -> DataFrame:
     """A4: a column per conventional resource key."""
     values = {
@@ -164,41 +167,54 @@ def parse_otlp(texts: DataFrame, column: str, signal: str = "traces") -> DataFra
     return texts.select(F.from_json(column, shapes[signal]).alias("request")).select("request.*")
 
 
+def _by_resource(requests: DataFrame, resources: str, scopes: str) -> DataFrame:
+    """One row per scope, with the attributes of its resource as a map."""
+    by_resource = requests.select(F.explode(resources).alias("r")).select(
+        _text_entries(F.col("r.resource.attributes")).alias("resource_attributes"), F.col(f"r.{scopes}").alias("scopes")
+    )
+    return with_first_wins(by_resource, "resource_attributes").select(
+        "resource_attributes", F.explode("scopes").alias("s")
+    )
+
+
 def flatten_spans(requests: DataFrame) -> DataFrame:
     """One row per span, not yet validated; keeps ``end_ns`` for the checks."""
-    by_resource = requests.select(F.explode("resourceSpans").alias("r"))
-    by_scope = by_resource.select(
-        attribute_map(F.col("r.resource.attributes")).alias("resource_attributes"), F.explode("r.scopeSpans").alias("s")
-    )
-    raw = by_scope.select("resource_attributes", F.explode("s.spans").alias("span"))
     span = F.col("span")
-    no_entries = F.array().cast("array<struct<key:string,value:string>>")
-    kind = kind_name(span["kind"])
-    entries = F.concat(
-        F.array(F.struct(F.lit("span.kind").alias("key"), kind.alias("value"))),
-        F.coalesce(_text_entries(span["attributes"]), no_entries),
-        F.coalesce(event_entries(span["events"]), no_entries),
-    )
-    service = _service(F.col("resource_attributes"), "unknown")
-    start = F.coalesce(span["startTimeUnixNano"].try_cast("bigint"), F.lit(0).cast("bigint"))
-    end = F.coalesce(span["endTimeUnixNano"].try_cast("bigint"), F.lit(0).cast("bigint"))
     parent = F.lower(span["parentSpanId"])
-    status = status_name(span["status"]["code"])
-    return raw.select(
-        F.lower(F.coalesce(span["traceId"], F.lit(""))).alias("trace_id"),
-        F.lower(F.coalesce(span["spanId"], F.lit(""))).alias("span_id"),
-        F.when(~parent.rlike("^0*$"), parent).alias("parent_span_id"),
-        F.when(service == "", "unknown").otherwise(service).alias("service_name"),
-        F.coalesce(span["name"], F.lit("")).alias("operation_name"),
-        start.alias("start_ns"),
-        (end - start).alias("duration_ns"),
-        kind.alias("kind"),
-        status.alias("status"),
-        F.when(status == "error", span["status"]["message"]).alias("status_message"),
-        first_wins_map(entries).alias("attributes"),
+    rows = (
+        _by_resource(requests, "resourceSpans", "scopeSpans")
+        .select("resource_attributes", F.explode("s.spans").alias("span"))
+        .select(
+            F.lower(F.coalesce(span["traceId"], F.lit(""))).alias("trace_id"),
+            F.lower(F.coalesce(span["spanId"], F.lit(""))).alias("span_id"),
+            F.when(~parent.rlike("^0*$"), parent).alias("parent_span_id"),
+            _service(F.col("resource_attributes"), "unknown").alias("service_name"),
+            F.coalesce(span["name"], F.lit("")).alias("operation_name"),
+            F.coalesce(span["startTimeUnixNano"].try_cast("bigint"), F.lit(0).cast("bigint")).alias("start_ns"),
+            F.coalesce(span["endTimeUnixNano"].try_cast("bigint"), F.lit(0).cast("bigint")).alias("end_ns"),
+            kind_name(span["kind"]).alias("kind"),
+            status_name(span["status"]["code"]).alias("status"),
+            span["status"]["message"].alias("message"),
+            F.concat(_text_entries(span["attributes"]), event_entries(span["events"])).alias("attributes"),
+            "resource_attributes",
+        )
+        .withColumn("attributes", F.concat(F.array(_entry(F.lit("span.kind"), F.col("kind"))), "attributes"))
+    )
+    return with_first_wins(rows, "attributes").select(
+        "trace_id",
+        "span_id",
+        "parent_span_id",
+        F.when(F.col("service_name") == "", "unknown").otherwise(F.col("service_name")).alias("service_name"),
+        "operation_name",
+        "start_ns",
+        (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"),
+        "kind",
+        "status",
+        F.when(F.col("status") == "error", F.col("message")).alias("status_message"),
+        "attributes",
         F.create_map().cast("map<string,string>").alias("tags"),
         "resource_attributes",
-        end.alias("end_ns"),
+        "end_ns",
     )
 
 
@@ -278,18 +294,16 @@ def latest_spans(spans: DataFrame, arrival: str) -> DataFrame:
 # A2 -----------------------------------------------------------------------------------------------
 def flatten_metrics(requests: DataFrame) -> DataFrame:
     """A2: gauge and sum values, histogram sums above zero, summary means. Others are skipped."""
-    by_scope = requests.select(F.explode("resourceMetrics").alias("r")).select(
-        attribute_map(F.col("r.resource.attributes")).alias("resource"), F.explode("r.scopeMetrics").alias("s")
-    )
-    metric = by_scope.select(
-        _service(F.col("resource"), "unknown_service").alias("service_name"), F.explode("s.metrics").alias("m")
+    metric = _by_resource(requests, "resourceMetrics", "scopeMetrics").select(
+        _service(F.col("resource_attributes"), "unknown_service").alias("service_name"),
+        F.explode("s.metrics").alias("m"),
     )
 
     def points(source: str, value) -> Column:
         return F.transform(
             F.coalesce(F.col(f"m.{source}.dataPoints"), F.array()),
-            lambda p: F.struct(
-                p["timeUnixNano"].try_cast("bigint").alias("ts_ns"), value(p).cast("double").alias("value")
+            lambda p: F.named_struct(
+                F.lit("ts_ns"), p["timeUnixNano"].try_cast("bigint"), F.lit("value"), value(p).cast("double")
             ),
         )
 
@@ -316,23 +330,21 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
 # A3 -----------------------------------------------------------------------------------------------
 def flatten_logs(requests: DataFrame) -> DataFrame:
     """A3: log records; a missing time is the time of processing."""
-    by_scope = requests.select(F.explode("resourceLogs").alias("r")).select(
-        attribute_map(F.col("r.resource.attributes")).alias("resource"), F.explode("r.scopeLogs").alias("s")
-    )
-    record = by_scope.select(
-        _service(F.col("resource"), "unknown_service").alias("service_name"), F.explode("s.logRecords").alias("l")
+    record = _by_resource(requests, "resourceLogs", "scopeLogs").select(
+        _service(F.col("resource_attributes"), "unknown_service").alias("service_name"),
+        F.explode("s.logRecords").alias("l"),
     )
     log = F.col("l")
     ns = log["timeUnixNano"].try_cast("bigint")
     severity = S.severity_from_number(F.coalesce(log["severityNumber"], F.lit(0)))
     ids = {n: F.when(log[k] != "", F.lower(log[k])) for n, k in (("trace_id", "traceId"), ("span_id", "spanId"))}
-    return record.select(
+    rows = record.select(
         F.coalesce(F.when(ns > 0, ns), S.timestamp_to_ns(F.current_timestamp())).alias("ts_ns"),
         "service_name",
         F.when(F.length(ids["trace_id"]) <= MAX_TRACE_ID, ids["trace_id"]).alias("trace_id"),
         F.when(F.length(ids["span_id"]) <= MAX_SPAN_ID, ids["span_id"]).alias("span_id"),
         severity.alias("severity"),
-        S.severity_number(severity).alias("severity_number"),
-        F.coalesce(any_value_text(log["body"]), F.lit("")).alias("body"),
-        F.when(F.size(log["attributes"]) > 0, attribute_map(log["attributes"])).alias("attributes"),
+        F.when(log["body"].isNotNull(), any_value_text(log["body"])).otherwise("").alias("body"),
+        F.when(F.size(log["attributes"]) > 0, _text_entries(log["attributes"])).alias("attributes"),
     )
+    return with_first_wins(rows, "attributes").withColumn("severity_number", S.severity_number("severity"))
