@@ -155,7 +155,8 @@ def _quoted(pattern: str) -> str:
 def pattern_positions(pattern: str, text: Column | str) -> Column:
     """Zero-based byte offsets of every occurrence, overlapping ones included.
 
-    The text is split before each occurrence; the running length of the pieces is the offset.
+    The text is split before each occurrence; the running length of the pieces is the offset. Every
+    piece but the first starts with an occurrence, and the first does when the text does.
     """
     text = F.col(text) if isinstance(text, str) else text
     if not pattern:
@@ -169,7 +170,7 @@ def pattern_positions(pattern: str, text: Column | str) -> Column:
         start,
         lambda acc, piece: F.struct(
             (acc["at"] + F.octet_length(piece)).alias("at"),
-            F.when(piece.startswith(F.lit(pattern)), F.concat(acc["found"], F.array(acc["at"])))
+            F.when((acc["at"] > 0) | text.startswith(F.lit(pattern)), F.concat(acc["found"], F.array(acc["at"])))
             .otherwise(acc["found"])
             .alias("found"),
         ),

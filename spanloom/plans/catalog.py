@@ -11,7 +11,7 @@ from spanloom.functions import scalars as S
 from spanloom.operators import graph, logs, metrics, retention, sampling, services, traces, tree, windows
 from spanloom.operators import filters as flt
 from spanloom.operators.filters import field
-from spanloom.session import staged
+from spanloom.session import new_shared_path, staged
 from spanloom.sources import export, otlp
 from spanloom.sources.driver_tables import Tables
 from spanloom.streaming import jobs
@@ -45,10 +45,17 @@ def _slim(spans: DataFrame) -> DataFrame:
     return spans.drop("attributes", "tags", "resource_attributes", "status_message")
 
 
+def _exported(t: Tables) -> str:
+    """A folder of OTLP/JSON requests, written from the spans."""
+    path = new_shared_path(t.spark, "otlp")
+    export.write_json_lines(export.otlp_traces(t.spans.withColumn("start_ns", F.col("start_ns") + SHIFT_NS)), path)
+    return path
+
+
 # Sources ------------------------------------------------------------------------------------------
 @query
 def a1_otlp_round_trip(t: Tables) -> DataFrame:
-    requests = _requests(t)
+    requests = otlp.read_otlp(t.spark, _exported(t))
     spans = otlp.valid_spans(otlp.validate_spans(otlp.flatten_spans(requests)))
     return spans.select(
         "trace_id", "span_id", "parent_span_id", "service_name", "operation_name", "start_ns", "duration_ns",
@@ -144,7 +151,7 @@ def a5_any_value_text(t: Tables) -> DataFrame:
     from spanloom.schema import any_value
 
     parsed = t.raw("part").select("p_partkey", F.from_json(plain, any_value()).alias("v"))
-    return parsed.select("p_partkey", otlp.any_value_text(F.col("v")).alias("value_text"))
+    return parsed.select("p_partkey", F.expr(otlp.any_value_sql("v")).alias("value_text"))
 
 
 @query
@@ -154,8 +161,8 @@ def a6_event_attributes(t: Tables) -> DataFrame:
     two = F.struct(F.lit("1700000000000000000").alias("timeUnixNano"), F.lit("end").alias("name"), F.array(_text_attribute("props", F.lit("x"))).alias("attributes"))
     texts = t.raw("events").select("event_id", F.to_json(F.array(one, two)).alias("json"))
     kind = otlp.schema.OTLP_TRACES["resourceSpans"].dataType.elementType["scopeSpans"].dataType.elementType["spans"].dataType.elementType["events"].dataType
-    parsed = texts.select("event_id", otlp.event_entries(F.from_json("json", kind)).alias("entries"))
-    return parsed.select("event_id", F.explode("entries").alias("e")).select("event_id", "e.key", "e.value")
+    parsed = texts.select("event_id", F.from_json("json", kind).alias("events"))
+    return parsed.select("event_id", F.explode(F.expr(otlp.event_entries_sql("events"))).alias("e")).select("event_id", "e.key", "e.value")
 
 
 @query
@@ -1120,13 +1127,9 @@ def _stream(df: DataFrame) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(folder)
 
 
-def _requests(t: Tables) -> DataFrame:
-    return otlp.parse_otlp(export.otlp_traces(t.spans.withColumn("start_ns", F.col("start_ns") + SHIFT_NS)), "json")
-
-
 @query
 def q1_ingest(t: Tables) -> DataFrame:
-    checked = otlp.validate_spans(otlp.flatten_spans(_stream(_requests(t))))
+    checked = otlp.validate_spans(otlp.flatten_spans(otlp.read_otlp(t.spark, _exported(t), stream=True)))
     return jobs.drained(_slim(otlp.valid_spans(checked)))
 
 
@@ -1144,8 +1147,6 @@ def q3_tail_sampling(t: Tables) -> DataFrame:
 @query
 def q4_event_feed(t: Tables) -> DataFrame:
     stream = _stream(_slim(t.spans))
-    from spanloom.session import new_shared_path
-
     path = new_shared_path(t.spark, "feed")
     jobs.start_event_feed(stream, path, new_shared_path(t.spark, "feed-state"), None).awaitTermination()
     return t.spark.read.parquet(path).drop("batch")

@@ -35,54 +35,46 @@ MAX_TRACE_ID, MAX_SPAN_ID, MAX_SERVICE_NAME = 32, 16, 255
 
 
 # A5 -----------------------------------------------------------------------------------------------
-def _number_text(value: Column) -> Column:
-    """Shortest decimal text: no exponent, no trailing ``.0``."""
-    plain = F.rtrim(value.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
-    plain = F.regexp_replace(plain, r"\.$", "")
-    text = value.cast("string")
-    # Values a decimal cannot hold exactly enough keep the text of the double.
-    precise = text.contains("E") & (F.abs(value) >= 1e-12) & (F.abs(value) < 1e19)
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-    return F.when(whole, value.cast("bigint").cast("string")).when(precise, plain).otherwise(text)
-
-
-def any_value_text(value: Column, depth: int = schema.NESTING) -> Column:
-    """A5: AnyValue as text; arrays as ``[a, b]``, key/value lists as ``{k=v}``, bytes by length."""
-    options = [
-        value["stringValue"],
-        value["boolValue"].cast("string"),
-        value["intValue"],
-        _number_text(value["doubleValue"]),
-    ]
-    if depth > 0:
-        items = F.transform(value["arrayValue"]["values"], lambda v: any_value_text(v, depth - 1))
-        pairs = F.transform(
-            value["kvlistValue"]["values"],
-            lambda kv: F.concat(kv["key"], F.lit("="), any_value_text(kv["value"], depth - 1)),
-        )
-        options += [
-            F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")),
-            F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")),
-        ]
-    else:
-        options += [value["arrayValue"], value["kvlistValue"]]
-    size = F.octet_length(F.unbase64(value["bytesValue"]))
-    options.append(F.concat(F.lit("bytes("), size.cast("string"), F.lit(")")))
-    return F.coalesce(*options, F.lit(""))
+# These expressions are nested lambdas; as SQL text they take one call instead of hundreds.
+_NO_ENTRIES = "cast(array() as array<struct<key:string,value:string>>)"
 
 
-_ENTRIES = "array<struct<key:string,value:string>>"
+def _number_sql(value: str) -> str:
+    """Shortest decimal text: no trailing ``.0``, and no exponent where a decimal holds the value."""
+    text, exact = f"cast({value} as string)", f"try_cast({value} as decimal(38,18))"
+    plain = f"regexp_replace(cast({exact} as string), '[.]?0+$', '')"
+    return (
+        f"if(contains({text}, 'E'), if(cast({exact} as double) = {value}, {plain}, {text}),"
+        f" regexp_replace({text}, '[.]0$', ''))"
+    )
 
 
-def _entry(key: Column, value: Column) -> Column:
-    return F.named_struct(F.lit("key"), key, F.lit("value"), value)
+def any_value_sql(value: str, depth: int = schema.NESTING) -> str:
+    """A5: AnyValue as text; arrays as ``[a, b]``, key/value lists as ``{k=v}``, bytes by length."""
+    if depth > 0:
+        item, pair = f"v{depth}", f"p{depth}"
+        items = f"transform({value}.arrayValue.values, {item} -> {any_value_sql(item, depth - 1)})"
+        pairs = (
+            f"transform({value}.kvlistValue.values,"
+            f" {pair} -> concat({pair}.key, '=', {any_value_sql(pair + '.value', depth - 1)}))"
+        )
+        nested = f"concat('[', array_join({items}, ', '), ']'), concat('{{', array_join({pairs}, ', '), '}}')"
+    else:
+        nested = f"{value}.arrayValue, {value}.kvlistValue"
+    return (
+        f"coalesce({value}.stringValue, cast({value}.boolValue as string), {value}.intValue,"
+        f" {_number_sql(value + '.doubleValue')}, {nested},"
+        f" concat('bytes(', octet_length(unbase64({value}.bytesValue)), ')'), '')"
+    )
 
 
-def _text_entries(attributes: Column) -> Column:
+def _entries_sql(attributes: str, key: str = "a.key") -> str:
     """Attributes that carry a value, as key and text; an empty array when there are none."""
-    present = F.filter(attributes, lambda a: a["key"].isNotNull() & a["value"].isNotNull())
-    texts = F.transform(present, lambda a: _entry(a["key"], any_value_text(a["value"])))
-    return F.coalesce(texts, F.array().cast(_ENTRIES))
+    present = f"filter({attributes}, a -> a.key is not null and a.value is not null)"
+    return (
+        f"coalesce(transform({present}, a -> named_struct('key', {key}, 'value', {any_value_sql('a.value')})),"
+        f" {_NO_ENTRIES})"
+    )
 
 
 def with_first_wins(df: DataFrame, column: str) -> DataFrame:
@@ -100,28 +92,27 @@ def with_first_wins(df: DataFrame, column: str) -> DataFrame:
 
 
 # A6 -----------------------------------------------------------------------------------------------
-def event_entries(events: Column) -> Column:
-    """``event.{i}.name``, ``.time`` (RFC 3339) and ``.{key}`` of every span event."""
+def _rfc3339_sql(ns: str) -> str:
+    """UTC time with as many fraction digits, in groups of three, as the value has."""
+    part = f"{ns} % {S.NS_PER_SEC}"
+    return (
+        f"concat(date_format(timestamp_seconds({ns} div {S.NS_PER_SEC}), \"yyyy-MM-dd'T'HH:mm:ss\"),"
+        f" case when {part} = 0 then ''"
+        f" when {part} % {S.NS_PER_MS} = 0 then concat('.', lpad({part} div {S.NS_PER_MS}, 3, '0'))"
+        f" when {part} % {S.NS_PER_US} = 0 then concat('.', lpad({part} div {S.NS_PER_US}, 6, '0'))"
+        f" else concat('.', lpad({part}, 9, '0')) end, '+00:00')"
+    )
 
-    def one(event: Column, i: Column) -> Column:
-        head = F.concat(F.lit("event."), i.cast("string"), F.lit("."))
-        ns = F.coalesce(event["timeUnixNano"].try_cast("bigint"), F.lit(0).cast("bigint"))
-        whole = F.date_format(F.timestamp_seconds(S.div(ns, S.NS_PER_SEC)), "yyyy-MM-dd'T'HH:mm:ss")
-        part = ns % S.NS_PER_SEC
-        digits = (
-            F.when(part == 0, F.lit(""))
-            .when(part % 1_000_000 == 0, F.concat(F.lit("."), F.lpad(S.div(part, 1_000_000).cast("string"), 3, "0")))
-            .when(part % 1_000 == 0, F.concat(F.lit("."), F.lpad(S.div(part, 1_000).cast("string"), 6, "0")))
-            .otherwise(F.concat(F.lit("."), F.lpad(part.cast("string"), 9, "0")))
-        )
-        fixed = F.array(
-            _entry(F.concat(head, F.lit("name")), F.coalesce(event["name"], F.lit(""))),
-            _entry(F.concat(head, F.lit("time")), F.concat(whole, digits, F.lit("+00:00"))),
-        )
-        extra = F.transform(_text_entries(event["attributes"]), lambda a: _entry(F.concat(head, a["key"]), a["value"]))
-        return F.concat(fixed, extra)
 
-    return F.coalesce(F.flatten(F.transform(events, one)), F.array().cast(_ENTRIES))
+def event_entries_sql(events: str) -> str:
+    """``event.{i}.name``, ``.time`` (RFC 3339) and ``.{key}`` of every span event."""
+    ns = "coalesce(try_cast(e.timeUnixNano as bigint), 0L)"
+    fixed = (
+        f"array(named_struct('key', concat('event.', i, '.name'), 'value', coalesce(e.name, '')),"
+        f" named_struct('key', concat('event.', i, '.time'), 'value', {_rfc3339_sql(ns)}))"
+    )
+    extra = _entries_sql("e.attributes", "concat('event.', i, '.', a.key)")
+    return f"coalesce(flatten(transform({events}, (e, i) -> concat({fixed}, {extra}))), {_NO_ENTRIES})"
 
 
 # A7 -----------------------------------------------------------------------------------------------
@@ -170,7 +161,7 @@ def parse_otlp(texts: DataFrame, column: str, signal: str = "traces") -> DataFra
 def _by_resource(requests: DataFrame, resources: str, scopes: str) -> DataFrame:
     """One row per scope, with the attributes of its resource as a map."""
     by_resource = requests.select(F.explode(resources).alias("r")).select(
-        _text_entries(F.col("r.resource.attributes")).alias("resource_attributes"), F.col(f"r.{scopes}").alias("scopes")
+        F.expr(_entries_sql("r.resource.attributes")).alias("resource_attributes"), F.col(f"r.{scopes}").alias("scopes")
     )
     return with_first_wins(by_resource, "resource_attributes").select(
         "resource_attributes", F.explode("scopes").alias("s")
@@ -195,10 +186,10 @@ def flatten_spans(requests: DataFrame) -> DataFrame:
             kind_name(span["kind"]).alias("kind"),
             status_name(span["status"]["code"]).alias("status"),
             span["status"]["message"].alias("message"),
-            F.concat(_text_entries(span["attributes"]), event_entries(span["events"])).alias("attributes"),
+            F.expr(f"concat({_entries_sql('span.attributes')}, {event_entries_sql('span.events')})").alias("attributes"),
             "resource_attributes",
         )
-        .withColumn("attributes", F.concat(F.array(_entry(F.lit("span.kind"), F.col("kind"))), "attributes"))
+        .withColumn("attributes", F.expr("concat(array(named_struct('key', 'span.kind', 'value', kind)), attributes)"))
     )
     return with_first_wins(rows, "attributes").select(
         "trace_id",
@@ -344,7 +335,7 @@ def flatten_logs(requests: DataFrame) -> DataFrame:
         F.when(F.length(ids["trace_id"]) <= MAX_TRACE_ID, ids["trace_id"]).alias("trace_id"),
         F.when(F.length(ids["span_id"]) <= MAX_SPAN_ID, ids["span_id"]).alias("span_id"),
         severity.alias("severity"),
-        F.when(log["body"].isNotNull(), any_value_text(log["body"])).otherwise("").alias("body"),
-        F.when(F.size(log["attributes"]) > 0, _text_entries(log["attributes"])).alias("attributes"),
+        F.when(log["body"].isNotNull(), F.expr(any_value_sql("l.body"))).otherwise("").alias("body"),
+        F.when(F.size(log["attributes"]) > 0, F.expr(_entries_sql("l.attributes"))).alias("attributes"),
     )
     return with_first_wins(rows, "attributes").withColumn("severity_number", S.severity_number("severity"))
