@@ -98,18 +98,54 @@ class _Field:
 
 
 class _Duration(_Field):
-    """Compared in whole microseconds."""
+    """Compared in whole microseconds, written as bounds in ns so that scans can use them."""
 
-    def _pair(self, value: object) -> tuple[Column, Column]:
-        ns = S.parse_duration_ns(value) if isinstance(value, str) else int(value)  # type: ignore[call-overload]
-        return self.column, F.lit(ns // S.NS_PER_US).cast("bigint")
+    @staticmethod
+    def _us(value: object) -> int:
+        return (S.parse_duration_ns(value) if isinstance(value, str) else int(value)) // S.NS_PER_US  # type: ignore[call-overload]
+
+    def _at_least(self, us: int) -> Column:
+        return self.column >= F.lit(us * S.NS_PER_US)
+
+    def _below(self, us: int) -> Column:
+        return self.column < F.lit(us * S.NS_PER_US)
+
+    def __eq__(self, value: object) -> Filter:  # type: ignore[override]
+        us = self._us(value)
+        return Filter(self._at_least(us) & self._below(us + 1))
+
+    def __ne__(self, value: object) -> Filter:  # type: ignore[override]
+        us = self._us(value)
+        return Filter(self._below(us) | self._at_least(us + 1))
+
+    def __gt__(self, value: object) -> Filter:
+        return Filter(self._at_least(self._us(value) + 1))
+
+    def __ge__(self, value: object) -> Filter:
+        return Filter(self._at_least(self._us(value)))
+
+    def __lt__(self, value: object) -> Filter:
+        return Filter(self._below(self._us(value)))
+
+    def __le__(self, value: object) -> Filter:
+        return Filter(self._below(self._us(value) + 1))
+
+    __hash__ = None  # type: ignore[assignment]
 
 
 class _Status(_Field):
     """C4: ``unknown`` also covers spans that never set a status."""
 
-    def _pair(self, value: object) -> tuple[Column, Column]:
-        return F.when(self.column == "unset", F.lit("unknown")).otherwise(self.column), F.lit(value)
+    def _is(self, value: object) -> Column:
+        return self.column.isin("unknown", "unset") if value == "unknown" else self.column == F.lit(value)
+
+    def __eq__(self, value: object) -> Filter:  # type: ignore[override]
+        return Filter(self._is(value))
+
+    def __ne__(self, value: object) -> Filter:  # type: ignore[override]
+        return Filter(~self._is(value))
+
+    __hash__ = None  # type: ignore[assignment]
 
 
 class _Attribute(_Field):
@@ -143,7 +179,7 @@ class _Fields:
 
     @property
     def duration(self) -> _Field:
-        return _Duration(S.div("duration_ns", S.NS_PER_US))
+        return _Duration(F.col("duration_ns"))
 
     @property
     def status(self) -> _Field:

@@ -13,6 +13,8 @@ from spanloom.functions import scalars as S
 WINDOW = "1 minute"
 PREVIOUS_WINDOWS = 5
 MAX_SERVICES = 1_000
+# Largest number of services that is broadcast; a limit above it joins by shuffle.
+BROADCAST_SERVICES = 100_000
 
 
 def is_latency() -> Column:
@@ -107,7 +109,9 @@ def cap_services(points: DataFrame, order: Sequence[str] = ("ts_ns",), max_servi
     admitted = (
         first_seen.orderBy("_first", "service_name").limit(max_services).select("service_name", F.lit(True).alias("_in"))
     )
-    return points.join(F.broadcast(admitted), "service_name", "left").select(
+    if max_services <= BROADCAST_SERVICES:
+        admitted = F.broadcast(admitted)
+    return points.join(admitted, "service_name", "left").select(
         *points.columns, F.col("_in").isNull().alias("rejected")
     )
 

@@ -102,6 +102,11 @@ def root_spans(spans: DataFrame) -> DataFrame:
     return spans.filter(S.is_root()).groupBy("trace_id").agg(first.alias("_root")).select("trace_id", "_root.*")
 
 
+def services_of_traces(spans: DataFrame) -> DataFrame:
+    """The distinct services of every trace, sorted by name."""
+    return spans.groupBy("trace_id").agg(F.array_sort(F.collect_set("service_name")).alias("services"))
+
+
 def store_statistics(
     spans: DataFrame, budget_bytes: int, warning: float = 0.7, critical: float = 0.85
 ) -> DataFrame:
@@ -127,13 +132,12 @@ def store_statistics(
 def exact_counts(spans: DataFrame) -> DataFrame:
     """Exact numbers of spans, traces and services.
 
-    Distinct ids are found by two plain aggregations, so no group holds more than its own id.
+    Traces are counted in two steps, so that ids meet only their own kind and no set is built.
     """
-    per_trace = spans.groupBy("trace_id", "service_name").agg(F.count(F.lit(1)).alias("n"))
-    services = per_trace.groupBy("service_name").agg(F.sum("n").alias("n"))
-    by_trace = per_trace.groupBy("trace_id").agg(F.sum("n").alias("n"))
-    return by_trace.agg(F.sum("n").alias("span_count"), F.count(F.lit(1)).alias("trace_count")).withColumn(
-        "service_count", services.agg(F.count(F.lit(1))).scalar()
+    by_trace = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
+    services = spans.select("service_name").distinct().agg(F.count(F.lit(1))).scalar()
+    return by_trace.agg(
+        F.sum("n").alias("span_count"), F.count(F.lit(1)).alias("trace_count"), F.max(services).alias("service_count")
     )
 
 

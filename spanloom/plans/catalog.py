@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import quantile as Q
 from spanloom.functions import scalars as S
 from spanloom.operators import graph, logs, metrics, retention, sampling, services, traces, tree, windows
 from spanloom.operators import filters as flt
@@ -254,6 +255,21 @@ def b2_jaeger(t: Tables) -> DataFrame:
     )
 
 
+@query
+def b3_otlp_export(t: Tables) -> DataFrame:
+    """Spans per trace and resource in the exported documents."""
+    shape = "resourceSpans array<struct<resource:struct<attributes:array<struct<key:string,value:struct<stringValue:string>>>>,scopeSpans:array<struct<spans:array<struct<spanId:string,kind:int,endTimeUnixNano:string,status:struct<code:int>>>>>>>"
+    d = export.otlp_traces(t.spans).select("trace_id", F.explode(F.from_json("json", shape)["resourceSpans"]).alias("r"))
+    inner = F.col("r.scopeSpans")[0]["spans"]
+    return d.select(
+        "trace_id", F.col("r.resource.attributes")[0]["value"]["stringValue"].alias("service_name"), F.size(inner).alias("spans"),
+        F.array_join(F.transform(inner, lambda s: s["spanId"]), ",").alias("span_ids"),
+        F.array_join(F.transform(inner, lambda s: s["kind"].cast("string")), ",").alias("kinds"),
+        F.array_join(F.transform(inner, lambda s: s["status"]["code"].cast("string")), ",").alias("codes"),
+        inner[0]["endTimeUnixNano"].alias("first_end"),
+    )
+
+
 @query
 def b4_csv_rows(t: Tables) -> DataFrame:
     return export.csv_rows(t.spans)
@@ -375,6 +391,22 @@ def c17_look_back(t: Tables) -> DataFrame:
     return flt.matching_traces(recent, field.service == "gateway")
 
 
+@query
+def s1_intersection(t: Tables) -> DataFrame:
+    """Traces that touch both services."""
+    return flt.matching_traces(t.spans, (field.service == "svc-1-0") & (field.service == "svc-2-0"))
+
+
+@query
+def s2_union(t: Tables) -> DataFrame:
+    return flt.matching_traces(t.spans, (field.service == "svc-6-0") | (field.service == "svc-7-0"))
+
+
+@query
+def s3_distinct(t: Tables) -> DataFrame:
+    return flat(traces.services_of_traces(t.spans))
+
+
 # Lookups ------------------------------------------------------------------------------------------
 @query
 def d1_span_by_id(t: Tables) -> DataFrame:
@@ -510,11 +542,16 @@ def j1_service_metrics(t: Tables) -> DataFrame:
     return services.service_metrics(t.spans)
 
 
+@query
+def j2_rank_percentiles(t: Tables) -> DataFrame:
+    """Per operation, and with the sample and edge index rules side by side."""
+    ranks = {"p50": Q.percent_index(50), "p95": Q.percent_index(95), "s90": Q.sample_index(0.9), "e99": Q.scaled_index(0.99)}
+    return Q.rank_quantiles(t.spans, ["operation_name"], "duration_ns", ranks)
+
+
 @query
 def j3_approx_percentile(t: Tables) -> DataFrame:
     """The estimate against the exact rank: their distance is within the stated rank error."""
-    from spanloom.functions import quantile as Q
-
     rough = t.spans.groupBy("service_name").agg(Q.approx_percentile("duration_ns", 0.95, 1000).alias("estimate"))
     around = Q.rank_quantiles(
         t.spans, ["service_name"], "duration_ns",
@@ -1114,6 +1151,14 @@ def x4_keep_newest(t: Tables) -> DataFrame:
     return retention.keep_newest(_slim(t.spans), 12_345).select("trace_id", "span_id", "start_ns")
 
 
+@query
+def x5_trace_caps(t: Tables) -> DataFrame:
+    newest = windows.newest_per_key(
+        t.spans.select("trace_id", "span_id", "start_ns"), ["trace_id"], [F.desc("start_ns"), F.desc("span_id")], 2
+    )
+    return newest.select("trace_id", "span_id")
+
+
 @query
 def x6_maintain(t: Tables) -> DataFrame:
     return retention.maintain(_slim(t.spans), AS_OF_NS, 5_000, 1_000 * DAY, 2 * DAY).select("trace_id", "span_id")

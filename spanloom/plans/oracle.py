@@ -394,6 +394,13 @@ _spans(
     """SELECT trace_id, span_id, start_ns//1000 AS start_us, duration_ns//1000 AS duration_us, operation_name, service_name,
        parent_span_id, CASE WHEN status='error' THEN 5 ELSE 4 END AS n_tags, status='error' AS error_tag FROM spans""",
 )
+_spans(
+    "b3_otlp_export",
+    """SELECT trace_id, service_name, CAST(count(*) AS INT) AS spans, string_agg(span_id, ',' ORDER BY start_ns, span_id) AS span_ids,
+       string_agg(CASE kind WHEN 'server' THEN '2' WHEN 'client' THEN '3' ELSE '1' END, ',' ORDER BY start_ns, span_id) AS kinds,
+       string_agg(CASE WHEN status='error' THEN '2' ELSE '1' END, ',' ORDER BY start_ns, span_id) AS codes,
+       CAST(arg_min(start_ns+duration_ns, start_ns) AS VARCHAR) AS first_end FROM spans GROUP BY 1, 2""",
+)
 _CSV = """trace_id, span_id, coalesce(parent_span_id,'') AS parent_span_id, service_name AS service,
        operation_name AS operation, start_ns AS start_time, duration_ns,
        CASE WHEN status='error' THEN 'ERROR' ELSE 'OK' END AS status"""
@@ -459,6 +466,15 @@ _spans(
     "f AS (SELECT trace_id, max(start_ns) AS start_ns FROM spans WHERE status='error' OR duration_ns//1000 > 900000 GROUP BY trace_id)",
 )
 
+_spans(
+    "s1_intersection",
+    """SELECT trace_id, max(start_ns) AS start_ns FROM spans WHERE service_name IN ('svc-1-0','svc-2-0')
+       AND trace_id IN (SELECT trace_id FROM spans WHERE service_name='svc-1-0' INTERSECT SELECT trace_id FROM spans WHERE service_name='svc-2-0')
+       GROUP BY 1""",
+)
+_spans("s2_union", "SELECT trace_id, max(start_ns) AS start_ns FROM spans WHERE service_name IN ('svc-6-0','svc-7-0') GROUP BY 1")
+_spans("s3_distinct", "SELECT trace_id, string_agg(DISTINCT service_name, ',' ORDER BY service_name) AS services FROM spans GROUP BY 1")
+
 # Lookups --------------------------------------------------------------------------------------------
 _spans("d1_span_by_id", f"SELECT {_SLIM} FROM spans WHERE span_id=lpad('1234',16,'0')")
 _spans("d2_trace_spans", f"SELECT {_SLIM} FROM spans WHERE trace_id=lpad('42',32,'0')")
@@ -552,6 +568,14 @@ _spans(
 
 # Services -------------------------------------------------------------------------------------------
 _spans("j1_service_metrics", "SELECT * FROM M", _RANKS)
+_spans(
+    "j2_rank_percentiles",
+    """SELECT operation_name, max(duration_ns) FILTER (WHERE i=n*50//100) AS p50, max(duration_ns) FILTER (WHERE i=n*95//100) AS p95,
+       max(duration_ns) FILTER (WHERE i=CAST(floor((n-1)::DOUBLE*0.9::DOUBLE) AS BIGINT)) AS s90,
+       max(duration_ns) FILTER (WHERE i=least(CAST(floor(n::DOUBLE*0.99::DOUBLE) AS BIGINT), n-1)) AS e99 FROM (
+       SELECT operation_name, duration_ns, row_number() OVER (PARTITION BY operation_name ORDER BY duration_ns)-1 AS i,
+              count(*) OVER (PARTITION BY operation_name) AS n FROM spans) GROUP BY 1""",
+)
 _spans("j3_approx_percentile", "SELECT DISTINCT service_name, true AS within_error FROM spans")
 sql(
     "j4_sample_percentile",
@@ -1084,6 +1108,11 @@ _spans(
     "x4_keep_newest",
     "SELECT trace_id, span_id, start_ns FROM spans ORDER BY start_ns DESC, trace_id, span_id LIMIT 12345",
 )
+_spans(
+    "x5_trace_caps",
+    """SELECT trace_id, span_id FROM (
+       SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_ns DESC, span_id DESC) AS k FROM spans) WHERE k <= 2""",
+)
 _spans(
     "x6_maintain",
     """SELECT trace_id, span_id FROM k3 ORDER BY start_ns DESC, trace_id, span_id LIMIT 5000""",
