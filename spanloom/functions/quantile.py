@@ -1,15 +1,15 @@
 """Exact rank percentiles J2, J4, J5 over groups of any size, and the approximate J3.
 
 A percentile here is "the value at this zero-based index of the sorted values", which differs from
-the SQL percentile functions. It is found in two column-pruned passes that never bring a whole
-group into one task:
+the SQL percentile functions. It is found in column-pruned passes that never bring a whole group
+into one task:
 
 1. count rows per (group, bucket of the value) with map-side combine, then walk the bucket totals
    of each group to find the bucket that holds the wanted index;
-2. keep only the rows of those buckets, count them per value, and walk those.
+2. keep only the rows of those buckets, count them per finer bucket or per value, and walk those.
 
-A bucket is a range of values, so both walks see a bounded number of rows per group: at most
-``largest value / bucket width`` buckets, and at most ``bucket width`` distinct values in one.
+A bucket is a range of values, so every walk sees a bounded number of rows per group: the number of
+buckets in one bucket of the pass before.
 """
 
 from __future__ import annotations
@@ -23,11 +23,6 @@ from spanloom.session import staged
 
 Rank = Callable[[Column], Column]
 
-# 2**23 ns is 8 ms. With durations of at most 24 hours this gives at most ten million buckets per
-# group and at most eight million values per bucket.
-DEFAULT_BUCKET_BITS = 23
-
-
 def percent_index(percent: int) -> Rank:
     """Index ``n * percent div 100``."""
     return lambda n: F.call_function("div", n * F.lit(percent), F.lit(100).cast("bigint"))
@@ -48,14 +43,28 @@ def descending_index(p: float) -> Rank:
     return lambda n: n - 1 - F.floor(n.cast("double") * F.lit(float(p))).cast("bigint")
 
 
-def bit_bucket(value: Column, bits: int = DEFAULT_BUCKET_BITS) -> Column:
-    """Bucket of a BIGINT value."""
-    return F.shiftright(value, bits)
+def bit_buckets(value: Column | str, *bits: int) -> list[Column]:
+    """Buckets of a BIGINT value of ``2**bits`` values each, from coarse to fine."""
+    value = F.col(value) if isinstance(value, str) else value
+    return [F.shiftright(value, b) for b in bits]
+
+
+def duration_buckets(value: Column | str = "duration_ns") -> list[Column]:
+    """Buckets of 8 ms. Valid durations end at 24 hours: at most ten million buckets per group and
+    eight million values per bucket."""
+    return bit_buckets(value, 23)
+
 
+def time_buckets(value: Column | str = "start_ns") -> list[Column]:
+    """Buckets of 73 minutes and of 2 ms; any BIGINT has at most two million of one in the other."""
+    return bit_buckets(value, 42, 21)
 
-def width_bucket(value: Column, width: float) -> Column:
-    """Bucket of a DOUBLE value: ranges of equal width."""
-    return F.floor(value / F.lit(float(width))).cast("bigint")
+
+def double_buckets(value: Column | str) -> list[Column]:
+    """Buckets of a DOUBLE value of any size: a thousand, then a billion, per doubling."""
+    value = F.col(value) if isinstance(value, str) else value
+    scale = F.signum(value) * F.log2(F.lit(1.0) + F.abs(value))
+    return [F.floor(scale * F.lit(float(2**b))).cast("bigint") for b in (10, 30)]
 
 
 def rank_quantiles(
@@ -64,23 +73,23 @@ def rank_quantiles(
     value: str,
     ranks: Mapping[str, Rank],
     carry: Mapping[str, tuple[Column, Callable[[Column], Column]]] | None = None,
-    bucket: Column | None = None,
+    buckets: Sequence[Column] | None = None,
 ) -> DataFrame:
     """One row per group with ``keys``, one column per entry of ``ranks`` and of ``carry``.
 
     ``carry`` adds mergeable aggregates to the first pass: name -> (aggregate over rows, merge of
-    the partial results). Rows whose value is NULL are left out. ``df`` is read twice.
+    the partial results). Rows whose value is NULL are left out. ``buckets`` are from coarse to
+    fine and must not decrease when the value grows. ``df`` is read once per bucket and once more.
     """
     carry = dict(carry or {})
-    keys = list(keys)
-    group = keys or ["_all"]
+    group = list(keys) or ["_all"]
     source = df.filter(F.col(value).isNotNull())
     if not keys:
         source = source.withColumn("_all", F.lit(0))
-    bucket = bit_bucket(F.col(value)) if bucket is None else bucket
-    source = source.withColumn("_bucket", bucket)
+    buckets = list(buckets) if buckets is not None else duration_buckets(value)
+    first = next(iter(ranks))
 
-    per_bucket = source.groupBy(*group, "_bucket").agg(
+    per_bucket = source.groupBy(*group, buckets[0].alias("_bucket")).agg(
         F.count(F.lit(1)).alias("_rows"), *[agg.alias(name) for name, (agg, _) in carry.items()]
     )
     whole = Window.partitionBy(*group)
@@ -99,43 +108,45 @@ def rank_quantiles(
             for name, index in ranks.items()
         ]
     )
-    targets = (
+    held = (F.col("_index") >= F.col("_before")) & (F.col("_index") < F.col("_upto"))
+    targets = staged(
         walked.withColumn("_want", F.explode(wanted))
-        .filter((F.col("_want.index") >= F.col("_before")) & (F.col("_want.index") < F.col("_upto")))
         .select(
-            *group,
-            "_bucket",
-            "_before",
-            F.col("_want.name").alias("_name"),
-            F.col("_want.index").alias("_index"),
-            *carry,
+            *group, "_bucket", "_before", "_upto", F.col("_want.name").alias("_name"),
+            F.col("_want.index").alias("_index"), *carry,
         )
+        .filter(held),
+        "rank-targets",
     )
-    targets = staged(targets, "rank-targets")
-
-    # The filter joins on the few (group, bucket) pairs; what is carried along is added afterwards.
-    pairs = targets.select(*group, "_bucket", "_name", "_index", "_before")
-    per_value = (
-        source.select(*group, "_bucket", value)
-        .join(pairs, [*group, "_bucket"])
-        .groupBy(*group, "_name", "_index", "_before", value)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
+
+    # Every further pass joins the rows with the few (group, bucket) pairs, and walks what is left.
+    found = targets.select(*group, "_name", "_index", "_before", "_bucket")
+    walk = [*group, "_name"]
     in_order = (
-        Window.partitionBy(*group, "_name")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*walk).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    found = (
-        per_value.withColumn("_upto", F.col("_before") + F.sum("_rows").over(in_order))
-        .filter((F.col("_upto") > F.col("_index")) & (F.col("_upto") - F.col("_rows") <= F.col("_index")))
-        .groupBy(*group)
-        .agg(*[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in ranks])
+    for coarse, fine in zip(buckets, [*buckets[1:], F.col(value)]):
+        counted = (
+            source.select(*group, coarse.alias("_bucket"), fine.alias("_finer"))
+            .join(found, [*group, "_bucket"])
+            .groupBy(*walk, "_index", "_before", F.col("_finer").alias("_bucket"))
+            .agg(F.count(F.lit(1)).alias("_rows"))
+        )
+        found = (
+            counted.withColumn("_upto", F.col("_before") + F.sum("_rows").over(in_order))
+            .withColumn("_before", F.col("_upto") - F.col("_rows"))
+            .filter(held)
+            .select(*walk, "_index", "_before", "_bucket")
+        )
+        if coarse is not buckets[-1]:
+            found = staged(found, "rank-targets")
+    result = found.groupBy(*group).agg(
+        *[F.max(F.when(F.col("_name") == name, F.col("_bucket"))).alias(name) for name in ranks]
     )
     if carry:
-        first = next(iter(ranks))
-        found = found.join(targets.filter(F.col("_name") == first).select(*group, *carry), group)
-    return found.select(*keys, *ranks, *carry)
+        carried = targets.filter(F.col("_name") == first).select(*group, *carry)
+        result = result.join(carried, group)
+    return result.select(*keys, *ranks, *carry)
 
 
 def approx_percentile(value: Column | str, p: float = 0.95, accuracy: int = 1000) -> Column:

@@ -62,7 +62,7 @@ def service_edges(calls: DataFrame) -> DataFrame:
             "error_count": (F.count_if("failed"), F.sum),
             "total_us": (F.sum(F.col("latency_us").cast("decimal(19,0)")), F.sum),
         },
-        bucket=Q.bit_bucket(F.col("latency_us"), _US_BUCKET_BITS),
+        buckets=Q.bit_buckets("latency_us", _US_BUCKET_BITS),
     )
     operations = calls.groupBy("from", "to").agg(F.array_sort(F.collect_set("operation")).alias("operations"))
     return stats.join(operations, ["from", "to"]).select(

@@ -159,13 +159,13 @@ def time_series(
     )
 
 
-def sample_percentiles(points: DataFrame, ps: dict[str, float], width: float = 1.0) -> DataFrame:
-    """Exact sample percentiles of the values per service; ``width`` is the bucket width."""
+def sample_percentiles(points: DataFrame, ps: dict[str, float]) -> DataFrame:
+    """Exact sample percentiles of the values per service."""
     numbers = points.filter(~F.isnan("value"))
     return Q.rank_quantiles(
         numbers,
         ["service_name"],
         "value",
         {name: Q.sample_index(p) for name, p in ps.items()},
-        bucket=Q.width_bucket(F.col("value"), width),
+        buckets=Q.double_buckets("value"),
     )

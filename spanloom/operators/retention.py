@@ -62,7 +62,7 @@ def keep_newest(spans: DataFrame, n: int) -> DataFrame:
         [],
         "start_ns",
         {"cut_ns": lambda rows: F.greatest(rows - n, F.lit(0).cast("bigint"))},
-        bucket=S.div("start_ns", S.NS_PER_SEC),
+        buckets=Q.time_buckets("start_ns"),
     ).scalar()
     newer = spans.filter(F.col("start_ns") > cut)
     at_cut = spans.filter(F.col("start_ns") == cut)

@@ -274,7 +274,7 @@ def exact_baselines(spans: DataFrame) -> DataFrame:
         "ms",
         {f"p{p}_ms": Q.percent_index(p) for p in (50, 95, 99)},
         carry={"samples": (F.count(F.lit(1)), F.sum)},
-        bucket=Q.bit_bucket(F.col("ms"), 4),
+        buckets=Q.bit_buckets("ms", 10),
     )
 
 

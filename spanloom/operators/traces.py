@@ -366,7 +366,7 @@ def dashboard(summary: DataFrame) -> DataFrame:
             "total_ms": (F.sum(F.col("duration_ms").cast("decimal(19,0)")), F.sum),
             "spans": (F.sum("span_count"), F.sum),
         },
-        bucket=Q.bit_bucket(F.col("duration_ms"), 4),
+        buckets=Q.bit_buckets("duration_ms", 10),
     )
     return stats.select(
         "traces",

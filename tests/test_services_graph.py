@@ -32,10 +32,21 @@ def test_rank_percentiles_match_brute_force(spark):
 def test_sample_percentile_example(spark):
     df = spark.createDataFrame([(float(v),) for v in (10, 20, 30, 40, 50)], "value double")
     ranks = {"a": Q.sample_index(0.0), "b": Q.sample_index(0.5), "c": Q.sample_index(1.0)}
-    row = Q.rank_quantiles(df, [], "value", ranks, bucket=Q.width_bucket(F.col("value"), 7.0)).first()
+    row = Q.rank_quantiles(df, [], "value", ranks, buckets=Q.double_buckets("value")).first()
     assert (row.a, row.b, row.c) == (10.0, 30.0, 50.0)
 
 
+def test_double_and_time_buckets_match_brute_force(spark):
+    rng = random.Random(2)
+    doubles = [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randrange(-3, 12) for _ in range(500)] + [0.0] * 20
+    times = [1_700_000_000 * 10**9 + rng.randrange(10**16) for _ in range(499)] + [1_700_000_000 * 10**9] * 21
+    df = spark.createDataFrame(list(zip(doubles, times)), "d double, t long")
+    ranks = {f"r{p}": Q.sample_index(p / 100) for p in (0, 3, 50, 97, 100)}
+    for column, values, buckets in (("d", doubles, Q.double_buckets("d")), ("t", times, Q.time_buckets("t"))):
+        row = Q.rank_quantiles(df, [], column, ranks, buckets=buckets).first()
+        assert [row[r] for r in ranks] == [sorted(values)[int(519 * p / 100)] for p in (0, 3, 50, 97, 100)]
+
+
 def test_percentile_95_of_0_to_99(make_spans):
     spans = make_spans(*[span("t", f"s{i}", ms=i) for i in range(100)])
     row = services.service_metrics(spans).first()
