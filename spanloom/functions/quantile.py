@@ -19,6 +19,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.joins import join_null_safe
 from spanloom.session import staged
 
 Rank = Callable[[Column], Column]
@@ -126,9 +127,9 @@ def rank_quantiles(
         Window.partitionBy(*walk).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     for coarse, fine in zip(buckets, [*buckets[1:], F.col(value)]):
+        rows = source.select(*group, coarse.alias("_bucket"), fine.alias("_finer"))
         counted = (
-            source.select(*group, coarse.alias("_bucket"), fine.alias("_finer"))
-            .join(found, [*group, "_bucket"])
+            join_null_safe(rows, found, [*group, "_bucket"])
             .groupBy(*walk, "_index", "_before", F.col("_finer").alias("_bucket"))
             .agg(F.count(F.lit(1)).alias("_rows"))
         )
@@ -145,7 +146,7 @@ def rank_quantiles(
     )
     if carry:
         carried = targets.filter(F.col("_name") == first).select(*group, *carry)
-        result = result.join(carried, group)
+        result = join_null_safe(result, carried, group)
     return result.select(*keys, *ranks, *carry)
 
 

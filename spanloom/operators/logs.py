@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
@@ -47,6 +47,43 @@ def token_index(logs: DataFrame, log_id: str = "event_id") -> DataFrame:
     return logs.select(F.explode(S.tokens("body")).alias("token"), log_id, "ts_ns")
 
 
+def _token_bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def write_token_index(
+    logs: DataFrame, path: str, buckets: int = 256, files_per_bucket: int = 8, log_id: str = "event_id"
+) -> None:
+    """L1: the token table, foldered by a hash of the token and sorted by token inside files.
+
+    The rows of a folder are spread over several tasks by log id, so a word that is in every log
+    does not end up in one task.
+    """
+    placed = token_index(logs, log_id).withColumns(
+        {
+            "bucket": _token_bucket(F.col("token"), buckets),
+            "_file": F.pmod(F.xxhash64(log_id), F.lit(files_per_bucket)),
+        }
+    )
+    (
+        placed.repartition("bucket", "_file")
+        .sortWithinPartitions("bucket", "token", "ts_ns")
+        .drop("_file")
+        .write.mode("append")
+        .partitionBy("bucket")
+        .parquet(path)
+    )
+
+
+def read_token_index(spark: SparkSession, path: str, query: str, buckets: int = 256) -> DataFrame:
+    """L1: the folders of a written token table that can hold the query's words."""
+    words = S.query_tokens(query)
+    if not words:
+        return spark.read.parquet(path).limit(0)
+    wanted = [_token_bucket(F.lit(w), buckets) for w in words]
+    return spark.read.parquet(path).filter(F.col("bucket").isin(*wanted))
+
+
 def search_index(index: DataFrame, query: str, limit: int = DEFAULT_LIMIT, log_id: str = "event_id") -> DataFrame:
     """L1: newest matching ids from the token table."""
     hits = index.filter(F.col("token").isin(S.query_tokens(query)))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.joins import join_null_safe
 from spanloom.session import staged
 
 
@@ -55,9 +56,9 @@ def prefix_sums(
         .distinct()
     )
     edges = staged(edges, "range-edges")
+    slim = cut.select("_range", *keys, *[f"_m_{n}" for n in names])
     totals = (
-        cut.select("_range", *keys, *[f"_m_{n}" for n in names])
-        .join(edges, keys, "left_semi")
+        join_null_safe(slim, edges, keys, "left_semi")
         .groupBy("_range", *keys)
         .agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in names])
     )
@@ -77,7 +78,7 @@ def prefix_sums(
         {f"_s_{n}": F.sum(f"_m_{n}").over(upto) for n in names}
         | {f"_p_{n}": F.sum(f"_m_{n}").over(part) for n in names}
     )
-    return summed.join(offsets, ["_range", *keys], "left").select(
+    return join_null_safe(summed, offsets, ["_range", *keys], "left").select(
         *columns,
         *[(F.col(f"_s_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in names],
         *[F.coalesce(F.col(f"_w_{n}"), F.col(f"_p_{n}")).alias(f"{n}_total") for n in names],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,19 @@ INCOMPLETE_AFTER_NS = 5 * S.NS_PER_MIN
 IDLE_AFTER_NS = 15 * S.NS_PER_MIN
 
 
-def expire(spans: DataFrame, as_of_ns: int, retention_ns: int = RETENTION_NS) -> DataFrame:
-    """Drop spans that started before the retention period."""
-    return spans.filter(F.col("start_ns") >= as_of_ns - retention_ns)
+def expire(
+    spans: DataFrame, as_of_ns: int, retention_ns: int = RETENTION_NS, day_column: str | None = None
+) -> DataFrame:
+    """Drop spans that started before the retention period.
+
+    ``day_column`` names the ``yyyyMMdd`` partition column of the table, if it has one: older days
+    are then not read at all.
+    """
+    oldest = as_of_ns - retention_ns
+    if day_column is not None:
+        first_day = datetime.fromtimestamp(oldest // S.NS_PER_SEC, timezone.utc).strftime("%Y%m%d")
+        spans = spans.filter(F.col(day_column).cast("string") >= first_day)
+    return spans.filter(F.col("start_ns") >= oldest)
 
 
 def incomplete_traces(spans: DataFrame, as_of_ns: int, after_ns: int = INCOMPLETE_AFTER_NS) -> DataFrame:

@@ -12,7 +12,7 @@ from spanloom.functions import scalars as S
 from spanloom.operators import graph, logs, metrics, retention, sampling, services, traces, tree, windows
 from spanloom.operators import filters as flt
 from spanloom.operators.filters import field
-from spanloom.session import new_shared_path, staged
+from spanloom.session import new_shared_path, write_stage
 from spanloom.sources import export, otlp
 from spanloom.sources.driver_tables import Tables
 from spanloom.streaming import jobs
@@ -949,6 +949,14 @@ def l1_token_index(t: Tables) -> DataFrame:
     return logs.search_index(logs.token_index(t.document_logs), "the und leaux", 100)
 
 
+@query
+def l1_written_index(t: Tables) -> DataFrame:
+    """The same from a written token table, of which a search reads few folders."""
+    path = new_shared_path(t.spark, "token-index")
+    logs.write_token_index(t.document_logs, path, buckets=16)
+    return logs.search_index(logs.read_token_index(t.spark, path, "the und leaux", buckets=16), "the und leaux", 100)
+
+
 @query
 def l2_logs_by_service(t: Tables) -> DataFrame:
     return logs.logs_by_service(t.logs, "user-3", 150).select("event_id", "ts_ns", "severity")
@@ -1136,6 +1144,13 @@ def x1_expire(t: Tables) -> DataFrame:
     return retention.expire(t.spans, AS_OF_NS, 500 * DAY).select("trace_id", "span_id")
 
 
+@query
+def x1_expire_by_day(t: Tables) -> DataFrame:
+    """Expiry of a table partitioned by day reads only the days that stay."""
+    dated = t.spans.withColumn("dt", export.partition_key("day"))
+    return retention.expire(dated, AS_OF_NS, 500 * DAY, day_column="dt").select("trace_id", "span_id")
+
+
 @query
 def x2_drop_incomplete(t: Tables) -> DataFrame:
     return retention.drop_incomplete(t.spans, AS_OF_NS - 300 * DAY).select("trace_id", "span_id")
@@ -1167,9 +1182,7 @@ def x6_maintain(t: Tables) -> DataFrame:
 # Streaming ----------------------------------------------------------------------------------------
 def _stream(df: DataFrame) -> DataFrame:
     """A stream over a written copy of a table."""
-    written = staged(df, "stream-source")
-    folder = written.inputFiles()[0].rsplit("/", 1)[0]
-    return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).parquet(write_stage(df, "stream-source"))
 
 
 @query

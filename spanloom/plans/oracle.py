@@ -910,6 +910,7 @@ sql(
     "l1_token_index",
     f"SELECT doc_id AS event_id, doc_id AS ts_ns FROM documents WHERE list_has_any({_TOKENS}, ['the','und','leaux']) ORDER BY doc_id DESC LIMIT 100",
 )
+ORACLE["l1_written_index"] = ORACLE["l1_token_index"]
 sql(
     "l2_logs_by_service",
     "SELECT event_id, ts_ns, severity FROM logs WHERE service_name='user-3' ORDER BY ts_ns DESC, event_id DESC LIMIT 150",
@@ -1094,6 +1095,7 @@ _spans(
 
 # Retention ------------------------------------------------------------------------------------------
 _spans("x1_expire", f"SELECT trace_id, span_id FROM spans WHERE start_ns >= {AS_OF - 500 * DAY}")
+ORACLE["x1_expire_by_day"] = ORACLE["x1_expire"]
 _spans(
     "x2_drop_incomplete",
     f"""SELECT trace_id, span_id FROM spans WHERE trace_id NOT IN (SELECT trace_id FROM spans GROUP BY 1

@@ -49,6 +49,13 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def write_stage(df: DataFrame, label: str = "stage") -> str:
+    """Write ``df`` to a fresh path in the shared folder."""
+    path = new_shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -56,7 +63,4 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     the optimizer its true size, so a join against it is broadcast when it is below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffled when it is not.
     """
-    spark = df.sparkSession
-    path = new_shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, label))

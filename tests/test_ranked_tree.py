@@ -3,6 +3,7 @@ import random
 from conftest import MS, span
 
 from pyspark.sql import functions as F
+from spanloom.functions import quantile as Q
 from spanloom.operators import retention, tree, windows
 from spanloom.operators.ranked import look_back, prefix_sums, ranked
 
@@ -26,6 +27,14 @@ def test_prefix_sums_over_a_hot_key(spark):
         assert {got[i].upto_total for i, _ in group} == {total}
 
 
+def test_missing_keys_are_groups_too(spark):
+    df = spark.createDataFrame([(None, i) for i in range(30)] + [("a", 100 + i) for i in range(3)], "k string, v long")
+    rows = ranked(df, ["k"], ["v"]).collect()
+    assert sorted(r.row_number for r in rows if r.k is None) == list(range(1, 31)) and len(rows) == 33
+    got = {r.k: (r.p50, r.n) for r in Q.rank_quantiles(df, ["k"], "v", {"p50": Q.percent_index(50)}, {"n": (F.count(F.lit(1)), F.sum)}).collect()}
+    assert got == {None: (15, 30), "a": (101, 3)}
+
+
 def test_global_row_numbers(spark):
     rows, df = skewed(spark)
     got = ranked(df, [], [F.desc("v"), F.col("i")]).orderBy("row_number").collect()
