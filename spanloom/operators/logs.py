@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
+from spanloom.session import staged
 
 DEFAULT_LIMIT = 100
 MAX_LOGS = 100_000
@@ -160,13 +161,15 @@ def logs_around_traces(logs: DataFrame, summary: DataFrame, slice_ns: int = 60 *
     """Logs of a trace's services within its time range.
 
     The range join becomes an equality join on (service, time slice): a trace is listed in every
-    slice it touches, a log in its own, and the exact bounds are checked on the pairs.
+    slice it touches, a log in its own, and the exact bounds are checked on the pairs. ``summary``
+    holds the traces of interest; written, their true size picks the join.
     """
     first = S.div("start_ns", slice_ns)
     last = S.div("end_ns", slice_ns)
     traces = summary.select(
         "trace_id", "start_ns", "end_ns", F.explode("services").alias("service_name"), F.sequence(first, last).alias("slices")
     ).select("trace_id", "start_ns", "end_ns", "service_name", F.explode("slices").alias("_slice"))
+    traces = staged(traces, "trace-slices")
     placed = logs.withColumnRenamed("trace_id", "log_trace_id").withColumn("_slice", S.div("ts_ns", slice_ns))
     return placed.join(traces, ["service_name", "_slice"]).filter(F.col("ts_ns").between(F.col("start_ns"), F.col("end_ns"))).drop("_slice")
 

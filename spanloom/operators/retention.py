@@ -43,8 +43,9 @@ def incomplete_traces(spans: DataFrame, as_of_ns: int, after_ns: int = INCOMPLET
 
 
 def drop_incomplete(spans: DataFrame, as_of_ns: int, after_ns: int = INCOMPLETE_AFTER_NS) -> DataFrame:
-    """X2."""
-    return spans.join(incomplete_traces(spans, as_of_ns, after_ns), "trace_id", "left_anti")
+    """X2. The ids are written first, so that their true number picks the join."""
+    incomplete = staged(incomplete_traces(spans, as_of_ns, after_ns), "incomplete")
+    return spans.join(incomplete, "trace_id", "left_anti")
 
 
 def idle_services(spans: DataFrame, as_of_ns: int, after_ns: int = IDLE_AFTER_NS) -> DataFrame:
@@ -58,8 +59,9 @@ def idle_services(spans: DataFrame, as_of_ns: int, after_ns: int = IDLE_AFTER_NS
 
 
 def drop_idle(spans: DataFrame, as_of_ns: int, after_ns: int = IDLE_AFTER_NS) -> DataFrame:
-    """X3."""
-    return spans.join(idle_services(spans, as_of_ns, after_ns), "service_name", "left_anti")
+    """X3. The services are written first: few of them are broadcast, and no span is moved."""
+    idle = staged(idle_services(spans, as_of_ns, after_ns), "idle")
+    return spans.join(idle, "service_name", "left_anti")
 
 
 def keep_newest(spans: DataFrame, n: int) -> DataFrame:

@@ -29,7 +29,10 @@ def span_tree(spans: DataFrame, labels: Column | str | None = None) -> DataFrame
     label = F.lit("") if labels is None else (F.col(labels) if isinstance(labels, str) else labels)
     nodes = spans.select("trace_id", "span_id", "parent_span_id", label.alias("path"))
     known = spans.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct().withColumn("_found", F.lit(True))
-    start = nodes.join(known, ["trace_id", "parent_span_id"], "left").select(
+    # Parentless spans need no look-up, so they are not shuffled.
+    top = nodes.filter(F.col("parent_span_id").isNull()).withColumn("_found", F.lit(None).cast("boolean"))
+    below = nodes.filter(F.col("parent_span_id").isNotNull()).join(known, ["trace_id", "parent_span_id"], "left")
+    start = top.unionByName(below).select(
         "trace_id",
         "span_id",
         F.when(F.col("_found"), F.col("parent_span_id")).alias("up"),
