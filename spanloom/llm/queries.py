@@ -1,10 +1,11 @@
-"""The registered queries of this subpackage, by name."""
+"""The registered queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import substring_dedup
+from spanloom.llm import bpe, decontamination, substring_dedup, token_count, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +16,28 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.word_digests(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.hit_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontamination": op2_decontamination,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_token_counts": op5_token_counts,
+    "op9_token_output": op9_token_output,
 }
 
 #: SQL of the queries that SQL can express on whole tables; the others are tested against brute force.

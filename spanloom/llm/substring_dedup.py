@@ -168,7 +168,8 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW) -> tuple[DataFr
         keep_keys(documents, staged(runs.select("id").distinct(), "anchored-ids"), ["id"]), "anchored-texts"
     )
     # Runs that agree word for word are settled together: all but the smallest id repeat it.
-    by_block = runs.groupBy("key", "block").agg(F.min("id").alias("least"))
+    # (The sums are written first: a join right above an aggregate can't split a hot partition.)
+    by_block = staged(runs.groupBy("key", "block").agg(F.min("id").alias("least")), "block-ids")
     settled = staged(
         runs.join(by_block, ["key", "block"]).select("key", "id", "first", "n", (F.col("id") > F.col("least")).alias("repeats")),
         "settled-runs",
@@ -183,7 +184,8 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW) -> tuple[DataFr
         .agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     )
     windows = staged(_window_rows(texts.join(open_runs, "id"), window), "windows")
-    by_window = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    by_window = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    by_window = staged(by_window.where("least < most").drop("most"), "window-ids")
     late = windows.join(by_window, ["w1", "w2"]).where("id > least").select("id", "first", F.lit(1).alias("n"))
     return settled.where("repeats").select("id", "first", "n").unionByName(late), texts
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.session import staged
 
 #: Key tables up to this many rows are sent to every task; larger ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -20,8 +20,12 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     ``keys`` holds numbers. It is counted first: up to ``BROADCAST_ROWS`` rows it is broadcast and
     ``df`` is not shuffled; above, Spark joins by shuffle and splits skewed partitions.
     """
-    few = keys.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(keys) if few else keys, list(on), "left_semi")
+    return df.join(sized(keys), list(on), "left_semi")
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """``keys``, a written table of numbers, marked for broadcast if its rows are few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def unique_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,8 +41,7 @@ def unique_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     again = keep_keys(df, repeated, [id_col]).groupBy(id_col).agg(
         F.min(F.struct(F.col(text_col).alias("t"))).getField("t").alias(text_col)
     )
-    few = repeated.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(repeated) if few else repeated, id_col, "left_anti").unionByName(again)
+    return df.join(sized(repeated), id_col, "left_anti").unionByName(again)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
