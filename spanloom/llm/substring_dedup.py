@@ -62,8 +62,6 @@ def anchors(words: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarra
     """
     margin = R.margin()
     span = window - 2 * margin + 1
-    if span < R.longest_symbol():
-        raise ValueError(f"windows of {window} words are too short for these rounds")
     out = []
     for lo, hi, first, last in _stretches(rows, window):
         part, cut = words[lo:hi], np.clip(rows[first : last + 1], lo, hi) - lo
@@ -155,6 +153,8 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW) -> tuple[DataFr
     ``documents`` has ``id`` (unique) and ``text``. Returns ``(id, first, n)``: the ``n`` windows
     that start at word ``first`` and after, and ``(id, text)`` of all rows with a shared anchor.
     """
+    if window - 2 * R.margin() + 1 < R.longest_symbol():
+        raise ValueError(f"windows of {window} words are too short for these rounds")
     shared = staged(
         _anchor_rows(documents, window, False)
         .groupBy("key")
