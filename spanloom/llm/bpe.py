@@ -13,6 +13,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,10 @@ from spanloom.llm import text as T
 #: Pieces handed to the fold in one row, and distinct pieces after which a task starts a new list.
 ROW_PIECES, LIST_PIECES = 1 << 18, 2_000_000
 #: The rank map is split into this many small maps, found by a hash of the pair.
-BUCKETS, FACTOR = 1 << 16, 0x3C6EF373
+#: Spark's xxhash64 is XXH64 with this seed.
+BUCKETS, HASH_SEED = 1 << 16, 42
+#: The character of token 0; bytes have characters of two bytes in UTF-8, and no token has a surrogate.
+FIRST_SYMBOL = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,65 +54,75 @@ def merges_of(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return pairs
 
 
-def _rank_map(ranks: dict[bytes, int]) -> Column:
-    """All merges as a literal: an array of maps from a pair's number to the merged id."""
+def _symbol(token: int) -> str:
+    """The character that stands for a token while pieces are merged; bytes and all ids below 54 000 have one."""
+    return chr(token + FIRST_SYMBOL)
+
+
+def _rank_map(merges: dict[tuple[int, int], int]) -> Column:
+    """All merges as a literal: an array of maps from a pair of symbols to its rank, dealt by a hash of the pair."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for (a, b), rank in merges_of(ranks).items():
-        key = a * 65536 + b
-        buckets[(key * FACTOR >> 20) % BUCKETS][str(key)] = rank
-    text = json.dumps(buckets, separators=(",", ":"))
-    return F.from_json(F.lit(text), "array<map<string,int>>").cast("array<map<bigint,int>>")
+    for (a, b), rank in merges.items():
+        pair = _symbol(a) + _symbol(b)
+        buckets[xxhash.xxh64_intdigest(pair, HASH_SEED) % BUCKETS][pair] = rank
+    return _literal(buckets, "array<map<string,int>>")
+
+
+def _pairs(merges: dict[tuple[int, int], int], tokens: int) -> Column:
+    """By rank: the pair of symbols that merges, and the symbol it becomes."""
+    pairs = [{"pair": "", "made": ""} for _ in range(tokens)]
+    for (a, b), rank in merges.items():
+        pairs[rank] = {"pair": _symbol(a) + _symbol(b), "made": _symbol(rank)}
+    return _literal(pairs, "array<struct<pair:string,made:string>>")
 
 
 def _token_bytes(ranks: dict[bytes, int]) -> Column:
+    """By id: the bytes of the token, in hexadecimal."""
     tokens = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        tokens[rank] = base64.b64encode(token).decode()
-    return F.from_json(F.lit(json.dumps(tokens, separators=(",", ":"))), "array<string>")
+        tokens[rank] = token.hex()
+    return _literal(tokens, "array<string>")
+
+
+def _literal(value, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False)), kind)
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _merged(a: Column, b: Column, rank_map: Column) -> Column:
-    """The id that two neighbouring ids merge to; null if they don't."""
-    key = a.cast("bigint") * 65536 + b
-    bucket = F.shiftright(key * FACTOR, 20).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    return F.try_element_at(F.get(rank_map, bucket), key)
+def _number(symbols: Column, at) -> Column:
+    return F.ascii(F.substring(symbols, at, 1)) - FIRST_SYMBOL
 
 
-def fold_merges(piece: Column, rank_map: Column) -> Column:
-    """Ids of a piece given as ids of its bytes: the lowest rank merges first, the leftmost of equals.
+def fold_merges(piece: Column, rank_map: Column, pairs: Column) -> Column:
+    """The symbols of a piece's tokens, from the symbols of its bytes: the lowest rank merges first.
 
-    The state holds the ids ``s``, the merged id ``r`` of each id with the next, and the place ``p``
-    of the least of those.
+    The state holds the symbols ``s`` and the least rank ``m`` of two that stand together; a step
+    merges all of those from the left, which can't make a pair of a lower rank.
     """
 
-    def state(s, r):
-        return _let(r, lambda r: F.struct(s.alias("s"), r.alias("r"), F.array_position(r, F.array_min(r)).cast("int").alias("p")))
-
-    def merge(x):
-        s, r, p = x["s"], x["r"], x["p"]
-        new = F.get(r, p - 1)
-        left = F.slice(F.array(_merged(F.get(s, p - 2), new, rank_map)), F.lit(1), F.least(p - 1, F.lit(1)))
-        return state(
-            F.concat(F.slice(s, F.lit(1), p - 1), F.array(new), F.slice(s, p + 2, F.size(s))),
-            F.concat(
-                F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))),
-                left,
-                F.array(_merged(new, F.get(s, p + 1), rank_map)),
-                F.slice(r, p + 2, F.size(r)),
-            ),
-        )
-
-    pairs = F.zip_with(piece, F.slice(piece, 2, F.size(piece)), lambda a, b: _merged(a, b, rank_map))
-    done = F.aggregate(
-        F.sequence(F.lit(1), F.size(piece)),
-        state(piece, pairs),
-        lambda x, _: F.when(x["p"].isNull(), x).otherwise(merge(x)),
-    )
-    return done["s"]
+    def state(s):
+        def rank(i):
+            pair = F.substring(s, i, 2)
+            return F.try_element_at(F.get(rank_map, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1))), pair)
+
+        ranks = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s) - 1, F.lit(1))), rank)
+        return F.struct(s.alias("s"), F.array_min(ranks).alias("m"))
+
+    def step(x, _):
+        merged = F.replace(x["s"], F.get(pairs, x["m"])["pair"], F.get(pairs, x["m"])["made"])
+        return F.when(x["m"].isNull(), x).otherwise(_let(merged, state))
+
+    turns = F.sequence(F.lit(1), F.greatest(F.char_length(piece) - 1, F.lit(1)))
+    return F.aggregate(turns, state(piece), step)["s"]
+
+
+def decode_symbols(symbols: Column, token_bytes: Column) -> Column:
+    """The bytes of all tokens, one after the other."""
+    parts = F.transform(F.sequence(F.lit(1), F.char_length(symbols)), lambda i: F.get(token_bytes, _number(symbols, i)))
+    return F.unhex(F.array_join(parts, ""))
 
 
 def _piece_rows(documents: DataFrame, byte_ids: np.ndarray) -> DataFrame:
@@ -126,8 +140,10 @@ def _piece_rows(documents: DataFrame, byte_ids: np.ndarray) -> DataFrame:
                 starts, ends, rows = P.pattern_spans(buf, cut)
                 codes, first = lists.add(T.span_names(buf, starts, ends))
                 sizes = (ends - starts)[first]
-                flat = byte_ids[buf[P.ragged(starts[first], sizes)]]
-                pieces = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), flat)
+                points = byte_ids[buf[P.ragged(starts[first], sizes)]] + FIRST_SYMBOL
+                flat = np.column_stack([0xC0 | points >> 6, 0x80 | points & 0x3F]).astype(np.uint8)
+                ends_of = np.append(0, np.cumsum(sizes * 2)).astype(np.int32)
+                pieces = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends_of), pa.py_buffer(flat.tobytes()))
                 ids = batch.column(0).slice(a, z - a)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -142,15 +158,10 @@ def _piece_rows(documents: DataFrame, byte_ids: np.ndarray) -> DataFrame:
                 fresh = False
 
     return documents.mapInArrow(
-        run, f"fresh boolean, ids array<{kind}>, counts binary, codes binary, pieces array<array<int>>"
+        run, f"fresh boolean, ids array<{kind}>, counts binary, codes binary, pieces array<string>"
     )
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    values = lists.flatten()
-    return np.asarray(values), np.asarray(lists.value_lengths()).astype(np.int64)
-
-
 def _document_rows(rows: DataFrame, kind: str) -> DataFrame:
     """Puts the pieces' ids and bytes together, in the task that listed the pieces."""
 
@@ -161,8 +172,10 @@ def _document_rows(rows: DataFrame, kind: str) -> DataFrame:
                 if batch.column("fresh")[i].as_py():
                     ids, data = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint8)
                     id_sizes = data_sizes = np.zeros(0, dtype=np.int64)
-                new_ids, new_sizes = _flat(batch.column("tokens").slice(i, 1).flatten())
-                ids, id_sizes = np.append(ids, new_ids), np.append(id_sizes, new_sizes)
+                buf, cut = T.text_bytes(batch.column("tokens").slice(i, 1).flatten())
+                heads = np.append(0, np.cumsum((buf & 0xC0) != 0x80))
+                points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), dtype="<u4").astype(np.int32)
+                ids, id_sizes = np.append(ids, points - FIRST_SYMBOL), np.append(id_sizes, np.diff(heads[cut]))
                 buf, cut = T.text_bytes(batch.column("bytes").slice(i, 1).flatten())
                 data, data_sizes = np.append(data, buf), np.append(data_sizes, np.diff(cut))
                 id_starts, data_starts = np.cumsum(id_sizes) - id_sizes, np.cumsum(data_sizes) - data_sizes
@@ -203,16 +216,17 @@ def encode_decode(documents: DataFrame, ranks_path: str, id_col: str = "doc_id",
     """
     ranks = read_ranks(ranks_path)
     byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+    if byte_ids.max() > 255:
+        raise ValueError("single bytes must have the lowest ranks")
+    if max(ranks.values()) + FIRST_SYMBOL >= 0xD800:
+        raise ValueError("the vocabulary is too large for one character per token")
     kind = documents.schema[id_col].dataType.simpleString()
     rows = _piece_rows(documents.select(id_col, text_col), byte_ids)
-    rows = rows.withColumn("rank_map", _rank_map(ranks)).withColumn("token_bytes", _token_bytes(ranks))
-    rows = rows.withColumn("tokens", F.transform("pieces", lambda p: fold_merges(p, F.col("rank_map"))))
-    decoded = F.transform(
-        "tokens",
-        lambda ids: F.aggregate(
-            ids, F.lit(b"").cast("binary"), lambda done, t: F.concat(done, F.unbase64(F.get(F.col("token_bytes"), t)))
-        ),
-    )
+    merges = merges_of(ranks)
+    rows = rows.withColumns({"rank_map": _rank_map(merges), "pairs": _pairs(merges, max(ranks.values()) + 1), "token_bytes": _token_bytes(ranks)})
+    tokens = F.transform("pieces", lambda p: fold_merges(p, F.col("rank_map"), F.col("pairs")))
+    rows = rows.withColumn("tokens", tokens)
+    decoded = F.transform("tokens", lambda s: decode_symbols(s, F.col("token_bytes")))
     rows = rows.select("fresh", "ids", "counts", "codes", "tokens", decoded.alias("bytes"))
     return _document_rows(rows, kind)
 
