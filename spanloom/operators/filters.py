@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
+from spanloom.operators.traces import checked_limit
 
 DEFAULT_LIMIT = 1_000
 MAX_LIMIT = 10_000
@@ -224,8 +225,11 @@ def matching_traces(spans: DataFrame, wanted: Filter, mode: str = "trace") -> Da
 def run_filter(
     spans: DataFrame, wanted: Filter, limit: int | None = None, mode: str = "trace"
 ) -> DataFrame:
-    """The newest matching traces, with the number of matches before the limit."""
-    limit = min(DEFAULT_LIMIT if limit is None else limit, MAX_LIMIT)
+    """The newest matching traces, with the number of matches before the limit.
+
+    A limit above ``MAX_LIMIT`` is an error; :func:`matching_traces` has none.
+    """
+    limit = checked_limit(limit, DEFAULT_LIMIT, MAX_LIMIT)
     found = matching_traces(spans, wanted, mode)
     total = found.agg(F.count(F.lit(1))).scalar()
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import quantile as Q
 from spanloom.functions import scalars as S
 from spanloom.operators.ranked import look_back
-from spanloom.operators.traces import BROADCAST_IDS, list_trace_ids
+from spanloom.operators.traces import list_trace_ids, only_traces
 from spanloom.session import staged
 
 # 2**13 us is 8 ms, the same width as the default bucket for nanoseconds.
@@ -64,7 +64,7 @@ def service_edges(calls: DataFrame) -> DataFrame:
         },
         buckets=Q.bit_buckets("latency_us", _US_BUCKET_BITS),
     )
-    operations = calls.groupBy("from", "to").agg(F.array_sort(F.collect_set("operation")).alias("operations"))
+    operations = calls.groupBy("from", "to").agg(F.sort_array(F.collect_set("operation")).alias("operations"))
     return stats.join(operations, ["from", "to"]).select(
         "from",
         "to",
@@ -145,10 +145,8 @@ def service_map(
     window_end_ns: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes with tiers and edges over the newest traces, optionally of a time window."""
-    ids = list_trace_ids(spans, None, window_start_ns, window_end_ns, trace_limit).select("trace_id")
-    if trace_limit <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    chosen = staged(spans.join(ids, "trace_id", "left_semi").drop("attributes", "tags", "resource_attributes"), "map-spans")
+    ids = list_trace_ids(spans, None, window_start_ns, window_end_ns, trace_limit)
+    chosen = staged(only_traces(spans.drop("attributes", "tags", "resource_attributes"), ids), "map-spans")
     edges = staged(service_edges(staged_calls(chosen)), "edges")
     nodes = service_nodes(chosen, edges)
     nodes = nodes.join(service_tiers(nodes, edges), "service_name").orderBy("tier", "service_name")
@@ -177,7 +175,7 @@ def error_paths(edges: DataFrame) -> DataFrame:
 def tier_groups(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("tier").agg(
         F.count(F.lit(1)).alias("services"),
-        F.array_sort(F.collect_list("service_name")).alias("names"),
+        F.sort_array(F.collect_list("service_name")).alias("names"),
         F.sum("request_count").alias("requests"),
     )
 
@@ -212,7 +210,7 @@ def service_paths(spans: DataFrame) -> DataFrame:
     return (
         visits.groupBy("trace_id")
         .agg(
-            F.array_sort(F.collect_list(F.struct("first", "service_name"))).alias("visits"),
+            F.sort_array(F.collect_list(F.struct("first", "service_name"))).alias("visits"),
             F.min("first.start_ns").alias("start_ns"),
             F.max("end_ns").alias("end_ns"),
             F.bool_or("failed").alias("has_error"),

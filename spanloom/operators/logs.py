@@ -9,11 +9,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions import quantile as Q
 from spanloom.functions import scalars as S
+from spanloom.operators.ranked import ranked
 from spanloom.session import staged
 
 DEFAULT_LIMIT = 100
-MAX_LOGS = 100_000
 _NEWEST = ("ts_ns", "event_id")
 
 
@@ -140,21 +141,26 @@ def log_statistics(logs: DataFrame) -> DataFrame:
     ).withColumn("traced_logs", traces.agg(F.count(F.lit(1))).scalar())
 
 
-def retain_logs(
-    logs: DataFrame,
-    max_logs: int = MAX_LOGS,
-    order: Sequence[str] = _NEWEST,
-    not_before_ns: int | None = None,
-) -> DataFrame:
-    """The newest ``max_logs`` logs, optionally none older than a time.
+def retain_logs(logs: DataFrame, max_logs: int, not_before_ns: int | None = None) -> DataFrame:
+    """The newest ``max_logs`` logs, optionally none older than a time; equal times by id.
 
-    The cut-off key is found among keys only; whole rows are then filtered, not sorted.
+    The time at the cut is found as an exact rank; only the logs of that very moment are ordered.
     """
     if not_before_ns is not None:
         logs = logs.filter(F.col("ts_ns") >= not_before_ns)
-    newest = logs.select(*order).orderBy(*[F.desc(c) for c in order]).limit(max_logs)
-    oldest_kept = newest.agg(F.min(F.struct(*order))).scalar()
-    return logs.filter(F.struct(*order) >= oldest_kept)
+    cut = Q.rank_quantiles(
+        logs.select("ts_ns"),
+        [],
+        "ts_ns",
+        {"cut_ns": lambda rows: F.greatest(rows - max_logs, F.lit(0).cast("bigint"))},
+        buckets=Q.time_buckets("ts_ns"),
+    ).scalar()
+    newer = logs.filter(F.col("ts_ns") > cut)
+    at_cut = logs.filter(F.col("ts_ns") == cut)
+    room = F.lit(max_logs) - newer.agg(F.count(F.lit(1))).scalar()
+    size = at_cut.agg(F.count(F.lit(1))).scalar()
+    filled = ranked(at_cut, [], ["event_id"]).filter(F.col("row_number") > size - room)
+    return newer.unionByName(filled.select(*logs.columns))
 
 
 def logs_around_traces(logs: DataFrame, summary: DataFrame, slice_ns: int = 60 * S.NS_PER_SEC) -> DataFrame:

@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import quantile as Q
 from spanloom.functions import scalars as S
+from spanloom.session import staged
 
 WINDOW = "1 minute"
 PREVIOUS_WINDOWS = 5
 MAX_SERVICES = 1_000
-# Largest number of services that is broadcast; a limit above it joins by shuffle.
-BROADCAST_SERVICES = 100_000
 
 
 def is_latency() -> Column:
-    """K1: values above 1000 are latencies. The bounds are fixed values."""
-    return F.col("value") > 1000.0
+    """K1: values above 1000 are latencies; NaN, which Spark orders above all, is none. The bounds are fixed values."""
+    return (F.col("value") > 1000.0) & ~F.isnan("value")
 
 
 def is_metric_error() -> Column:
@@ -109,8 +108,8 @@ def cap_services(points: DataFrame, order: Sequence[str] = ("ts_ns",), max_servi
     admitted = (
         first_seen.orderBy("_first", "service_name").limit(max_services).select("service_name", F.lit(True).alias("_in"))
     )
-    if max_services <= BROADCAST_SERVICES:
-        admitted = F.broadcast(admitted)
+    # Written, so that its true size picks the join.
+    admitted = staged(admitted, "admitted-services")
     return points.join(admitted, "service_name", "left").select(
         *points.columns, F.col("_in").isNull().alias("rejected")
     )

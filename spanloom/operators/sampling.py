@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from spanloom.functions import quantile as Q
 from spanloom.functions import scalars as S
 from spanloom.operators.ranked import look_back, prefix_sums
 from spanloom.operators.services import latency_ema
+from spanloom.session import staged
 
 # Fixed values of the policies.
 BASE_RATE = 100  # per 10 000: 1 %
@@ -31,6 +33,8 @@ HUGE_TRACE = 500
 HISTORY = 1_000
 MIN_HISTORY = 100
 Z_LIMIT = 3.0
+# Intervals of a run, and runs of a run of runs, in P6.
+RUN = 512
 
 
 def _lookup(column: str, values: Mapping[str, float | int]) -> Column:
@@ -40,9 +44,12 @@ def _lookup(column: str, values: Mapping[str, float | int]) -> Column:
     return out
 
 
-def uniform_sample(spans: DataFrame, rate: float, seed: int = 0) -> DataFrame:
-    """P1."""
-    return spans.filter(F.rand(seed) < rate)
+def uniform_sample(spans: DataFrame, rate: float, seed: int = 0, method: str = "rand") -> DataFrame:
+    """Each span with the same chance; by a hash of its ids and the seed it is drawn alike on every run."""
+    if method == "rand":
+        return spans.filter(F.rand(seed) < rate)
+    key = F.concat("trace_id", "span_id", F.lit(str(seed)))
+    return spans.filter(S.hash_bucket(key, method) < F.lit(rate) * 10_000)
 
 
 def service_rates(
@@ -175,23 +182,62 @@ def load_per_interval(features: DataFrame, interval_seconds: int = 60) -> DataFr
     )
 
 
+def _steps(rates: np.ndarray, tps: float, error_rate: float, target_tps: float) -> np.ndarray:
+    """:func:`next_rate` of many rates at once."""
+    ratio = min(max(target_tps / max(tps, 1.0), 0.5), 1.5)
+    stepped = np.clip((rates * ratio).astype(np.int64), 1, MAX_RATE)
+    return np.minimum(stepped * ERROR_BOOST, MAX_RATE) if error_rate > HIGH_ERROR_RATE else stepped
+
+
 def adaptive_rates(load: DataFrame, start_rate: int = BASE_RATE, target_tps: float = TARGET_TPS) -> DataFrame:
-    """The rate after every interval. Each step needs the one before, so the intervals — a few
-    numbers per minute by now, whatever the traffic — are folded in order."""
+    """The rate after every interval.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("interval")
-        rate, rates = start_rate, []
+    Each step needs the one before, but a rate is one of ``MAX_RATE`` numbers, so what a run of
+    intervals does is a table from the rate before to the rate after. Runs of intervals get their tables
+    in parallel, runs of runs compose them, and only those - one for many thousand intervals - are
+    followed in order. The rates at the borders are then handed back down to the runs.
+    """
+    run, runs = F.floor(F.col("interval") / RUN), F.floor(F.col("run") / RUN)
+    rows = staged(load.select("interval", "tps", "error_rate", run.alias("run")), "load")
+
+    def table(key, pdf):
+        rates = np.arange(MAX_RATE + 1, dtype=np.int64)
+        for r in pdf.sort_values("interval").itertuples():
+            rates = _steps(rates, r.tps, r.error_rate, target_tps)
+        return pd.DataFrame({"run": [key[0]], "after": [rates.astype("<i4").tobytes()]})
+
+    tables = staged(rows.groupBy("run").applyInPandas(table, "run long, after binary").withColumn("runs", runs), "run-tables")
+
+    def composed(key, pdf):
+        rates = np.arange(MAX_RATE + 1)
+        for after in pdf.sort_values("run")["after"]:
+            rates = np.frombuffer(after, dtype="<i4")[rates]
+        return pd.DataFrame({"runs": [key[0]], "after": [rates.astype("<i4").tobytes()]})
+
+    top = tables.groupBy("runs").applyInPandas(composed, "runs long, after binary")
+    starts, rate = [], start_rate
+    for r in sorted(top.collect(), key=lambda r: r.runs):  # a row for RUN * RUN intervals
+        starts.append((r.runs, rate))
+        rate = int(np.frombuffer(r.after, dtype="<i4")[rate])
+
+    def borders(key, pdf):
+        pdf, rate, before = pdf.sort_values("run"), int(pdf["before"].iloc[0]), []
+        for after in pdf["after"]:
+            before.append(rate)
+            rate = int(np.frombuffer(after, dtype="<i4")[rate])
+        return pd.DataFrame({"run": pdf["run"], "before": before})
+
+    begun = load.sparkSession.createDataFrame(starts, "runs long, before long")
+    begun = tables.join(begun, "runs").groupBy("runs").applyInPandas(borders, "run long, before long")
+
+    def fold(key, pdf):
+        pdf, rate, rates = pdf.sort_values("interval"), int(pdf["before"].iloc[0]), []
         for tps, error_rate in zip(pdf["tps"], pdf["error_rate"]):
             rate = next_rate(rate, tps, error_rate, target_tps)
             rates.append(rate)
         return pdf[["interval", "tps", "error_rate"]].assign(rate=rates)
 
-    return (
-        load.select("interval", "tps", "error_rate")
-        .groupBy(F.lit(0).alias("_all"))
-        .applyInPandas(fold, "interval long, tps double, error_rate double, rate long")
-    )
+    return rows.join(begun, "run").groupBy("run").applyInPandas(fold, "interval long, tps double, error_rate double, rate long")
 
 
 # P8, P9 ------------------------------------------------------------------------------------------

@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import quantile as Q
 from spanloom.functions import scalars as S
+from spanloom.session import staged
 
 MAX_RESULTS = 1_000
 DEFAULT_RESULTS = 100
-SLOW_CANDIDATES = 10_000
 
-# Largest number of ids that is broadcast; a limit above it joins by shuffle.
-BROADCAST_IDS = 100_000
 
-
-def clamp_limit(limit: int | None) -> int:
-    """API limits, 100 by default and at most 1000."""
-    return min(DEFAULT_RESULTS if limit is None else limit, MAX_RESULTS)
+def checked_limit(limit: int | None, default: int = DEFAULT_RESULTS, most: int = MAX_RESULTS) -> int:
+    """A limit for the interactive lists, which state it; one out of bounds is an error."""
+    limit = default if limit is None else limit
+    if not 0 < limit <= most:
+        raise ValueError(f"limit must be between 1 and {most}, not {limit}")
+    return limit
 
 
 # Lookups ----------------------------------------------------------------------------------------
@@ -104,7 +104,7 @@ def root_spans(spans: DataFrame) -> DataFrame:
 
 def services_of_traces(spans: DataFrame) -> DataFrame:
     """The distinct services of every trace, sorted by name."""
-    return spans.groupBy("trace_id").agg(F.array_sort(F.collect_set("service_name")).alias("services"))
+    return spans.groupBy("trace_id").agg(F.sort_array(F.collect_set("service_name")).alias("services"))
 
 
 def store_statistics(
@@ -219,16 +219,18 @@ def _top_ids(
     return ids.orderBy(*_newest_first()).limit(limit)
 
 
-def _only(spans: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
-    """Spans of the given traces. The ids are broadcast when their limit proves them few."""
-    ids = ids.select("trace_id")
-    if limit <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return spans.join(ids, "trace_id", "left_semi")
+def only_traces(spans: DataFrame, ids: DataFrame) -> DataFrame:
+    """Spans of the given traces. The ids are written, so their true size picks the join."""
+    return spans.join(staged(ids.select("trace_id"), "trace-ids"), "trace_id", "left_semi")
+
 
+def _describe(spans: DataFrame, ids: DataFrame, search: bool) -> DataFrame:
+    return summary_columns(trace_summary(only_traces(spans, ids)), search).orderBy(*_newest_first())
 
-def _describe(spans: DataFrame, ids: DataFrame, limit: int, search: bool) -> DataFrame:
-    return summary_columns(trace_summary(_only(spans, ids, limit)), search).orderBy(*_newest_first())
+
+def _with_hits(spans: DataFrame, test: Column) -> DataFrame:
+    """Spans of the traces in which some span passes the test, which thereby reaches the scan."""
+    return only_traces(spans, spans.filter(test).select("trace_id").distinct())
 
 
 def recent_traces(spans: DataFrame, limit: int = DEFAULT_RESULTS, service: str | None = None) -> DataFrame:
@@ -236,8 +238,8 @@ def recent_traces(spans: DataFrame, limit: int = DEFAULT_RESULTS, service: str |
     if service is None:
         ids = _top_ids(spans, limit)
     else:
-        ids = _top_ids(spans, limit, {"touches": F.bool_or(F.col("service_name") == service)}, F.col("touches"))
-    return _describe(spans, ids, limit, search=False)
+        ids = _top_ids(_with_hits(spans, F.col("service_name") == service), limit)
+    return _describe(spans, ids, search=False)
 
 
 def search_traces(
@@ -249,8 +251,7 @@ def search_traces(
     since_ns: int | None = None,
 ) -> DataFrame:
     """Newest traces in which some span matches the text."""
-    measures = {"hit": F.bool_or(text_match(query))}
-    having = F.col("hit")
+    measures, having = {}, F.lit(True)
     if service is not None:
         measures["touches"] = F.bool_or(F.col("service_name") == service)
         having = having & F.col("touches")
@@ -259,7 +260,10 @@ def search_traces(
         having = having & F.col("failed")
     if since_ns is not None:
         having = having & (F.col("start_ns") >= since_ns)
-    return _describe(spans, _top_ids(spans, limit, measures, having), limit, search=True)
+    # A trace that starts late enough has no earlier span, so older hits can't be of use.
+    hit = text_match(query) if since_ns is None else text_match(query) & (F.col("start_ns") >= since_ns)
+    found = _with_hits(spans, hit)
+    return _describe(found, _top_ids(found, limit, measures, having), search=True)
 
 
 def _every_span(service: str | None, start_ns: int | None, end_ns: int | None, service_match: str):
@@ -302,24 +306,24 @@ def list_traces(
     ``service_match='any'`` asks only for one span of the service.
     """
     ids = list_trace_ids(spans, service, start_ns, end_ns, limit, service_match)
-    return _describe(spans, ids, limit, search=True)
+    return _describe(spans, ids, search=True)
 
 
 def error_traces(spans: DataFrame, limit: int = DEFAULT_RESULTS) -> DataFrame:
     """Newest traces with an error."""
-    ids = _top_ids(spans, limit, {"failed": F.bool_or(S.is_error())}, F.col("failed"))
-    return _describe(spans, ids, limit, search=True)
+    failed = _with_hits(spans, S.is_error())
+    return _describe(failed, _top_ids(failed, limit), search=True)
 
 
 def slow_traces(
     spans: DataFrame,
     threshold_ns: int,
     limit: int = DEFAULT_RESULTS,
-    candidates: int | None = SLOW_CANDIDATES,
+    candidates: int | None = None,
 ) -> DataFrame:
     """Traces whose extent reaches the threshold, longest span first.
 
-    The longest are picked among the newest ``candidates`` slow traces, or among all with ``None``.
+    The longest are picked among all slow traces, or among the newest ``candidates`` of them.
     """
     slow = (
         spans.groupBy("trace_id")
@@ -334,7 +338,7 @@ def slow_traces(
         slow = slow.orderBy(*_newest_first()).limit(candidates)
     longest = [F.desc("duration_ns"), F.desc("start_ns"), F.col("trace_id")]
     ids = slow.orderBy(*longest).limit(limit)
-    return summary_columns(trace_summary(_only(spans, ids, limit)), search=True).orderBy(*longest)
+    return summary_columns(trace_summary(only_traces(spans, ids)), search=True).orderBy(*longest)
 
 
 def trace_features(spans: DataFrame) -> DataFrame:

@@ -65,6 +65,61 @@ def a1_otlp_round_trip(t: Tables) -> DataFrame:
     )
 
 
+@query
+def a1_malformed(t: Tables) -> DataFrame:
+    """A line for every event: a third are requests, a third are cut off, a third are no objects."""
+    kind = F.col("event_id") % 3
+    span = F.struct(
+        F.lpad(F.col("event_id").cast("string"), 32, "0").alias("traceId"), F.lpad(F.col("event_id").cast("string"), 16, "1").alias("spanId")
+    )
+    request = F.struct(F.array(F.struct(F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
+    text = F.to_json(request)
+    line = F.when(kind == 0, text).when(kind == 1, F.substring(text, 1, 40)).otherwise(F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]")))
+    path = new_shared_path(t.spark, "damaged")
+    t.raw("events").select(line.alias("value")).write.text(path)
+    lines = otlp.read_lines(t.spark, path)
+    good = otlp.flatten_spans(otlp.parse_otlp(lines, "line")).select(F.lit("span").alias("outcome"), F.lit(0).cast("bigint").alias("kind"))
+    bad = otlp.malformed_requests(lines, "line").select(
+        F.col("reject_reason").alias("outcome"), F.when(F.startswith("line", F.lit("[")), 2).otherwise(1).cast("bigint").alias("kind")
+    )
+    return good.unionByName(bad).groupBy("outcome", "kind").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query
+def a2_missing_time(t: Tables) -> DataFrame:
+    """Gauge points of which every other one carries no time; none falls out of the windows."""
+    ns = S.timestamp_to_ns(F.col("ts").cast("timestamp")).cast("string")
+    point = F.struct(F.when(F.col("event_id") % 2 == 0, ns).alias("timeUnixNano"), F.lit(1.0).alias("asDouble"))
+    metric = F.struct(F.lit("m").alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("gauge"))
+    service = F.concat(F.lit("user-"), F.col("user_id") % 10)
+    resource = F.struct(F.array(_text_attribute("service.name", service)).alias("attributes"))
+    scopes = F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics")
+    request = F.struct(F.array(F.struct(resource.alias("resource"), scopes)).alias("resourceMetrics"))
+    events = t.raw("events")
+    latest = events.agg(F.max(S.timestamp_to_ns(F.col("ts").cast("timestamp")))).scalar()
+    points = otlp.flatten_metrics(otlp.parse_otlp(events.select(F.to_json(request).alias("json")), "json", "metrics"))
+    return points.groupBy("service_name").agg(
+        F.count("ts_ns").alias("points"),
+        F.count_if(F.col("ts_ns") <= latest).alias("timed"),
+        F.count_if(F.col("ts_ns") > latest).alias("stamped"),
+    )
+
+
+@query
+def a8_hex(t: Tables) -> DataFrame:
+    """Spans of which three quarters have one id that is no hexadecimal number."""
+    damaged = F.col("trace_id").substr(F.lit(1), F.length("trace_id")).cast("bigint") % 4
+    bad = lambda c, k, ident: F.when(damaged == k, F.concat(F.lit("zz"), F.substring(ident, 3, 30))).otherwise(ident).alias(c)
+    roots = t.spans.filter(F.col("parent_span_id").isNull()).withColumn("start_ns", F.col("start_ns") + SHIFT_NS)
+    spans = roots.select(
+        bad("trace_id", 1, F.col("trace_id")),
+        bad("span_id", 2, F.col("span_id")),
+        bad("parent_span_id", 3, F.lpad(F.col("span_id"), 16, "0")),
+        "service_name", "start_ns", "duration_ns", (F.col("start_ns") + F.col("duration_ns")).alias("end_ns"),
+    )
+    return otlp.validate_spans(spans).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("spans"))
+
+
 def _text_attribute(key: str, value) -> object:
     return F.struct(F.lit(key).alias("key"), F.struct(value.alias("stringValue")).alias("value"))
 
@@ -226,8 +281,8 @@ def a12_latest_spans(t: Tables) -> DataFrame:
 # Exports ------------------------------------------------------------------------------------------
 @query
 def b1_json_traces(t: Tables) -> DataFrame:
-    headers, spans = export.select_traces(t.spans, limit=500)
-    documents = export.json_traces(headers, spans)
+    headers = traces.summary_columns(traces.trace_summary(t.spans), search=True)
+    documents = export.json_traces(headers, t.spans)
     shape = "trace_id string, root_service string, span_count bigint, duration_ns bigint, spans array<struct<span_id:string,service_name:string,duration_ns:bigint,attributes:map<string,string>>>"
     d = documents.select("part", F.from_json("json", shape).alias("d"))
     return d.select(
@@ -521,6 +576,17 @@ def g7_slow_traces(t: Tables) -> DataFrame:
     return flat(traces.slow_traces(t.spans, 3 * S.NS_PER_SEC, 200))
 
 
+@query
+def g7_slow_traces_newest(t: Tables) -> DataFrame:
+    return flat(traces.slow_traces(t.spans, 3 * S.NS_PER_SEC, 200, candidates=10_000))
+
+
+@query
+def o5_checked_limit(t: Tables) -> DataFrame:
+    """The default of the interactive lists."""
+    return flat(traces.error_traces(t.spans, traces.checked_limit(None)))
+
+
 @query
 def g7_slow_traces_whole(t: Tables) -> DataFrame:
     return flat(traces.slow_traces(t.spans, S.NS_PER_SEC, 200, candidates=None))
@@ -551,11 +617,15 @@ def j2_rank_percentiles(t: Tables) -> DataFrame:
 
 @query
 def j3_approx_percentile(t: Tables) -> DataFrame:
-    """The estimate against the exact rank: their distance is within the stated rank error."""
+    """The estimate against the exact rank: their distance is within the stated rank error, to a rank."""
+    rank = lambda n, p, off: F.floor(n * F.lit(p)).cast("bigint") + off
     rough = t.spans.groupBy("service_name").agg(Q.approx_percentile("duration_ns", 0.95, 1000).alias("estimate"))
     around = Q.rank_quantiles(
         t.spans, ["service_name"], "duration_ns",
-        {"low": Q.scaled_index(0.945), "high": Q.scaled_index(0.955)},
+        {
+            "low": lambda n: F.greatest(rank(n, 0.949, -1), F.lit(0).cast("bigint")),
+            "high": lambda n: F.least(rank(n, 0.951, 1), n - 1),
+        },
     )
     inside = F.col("estimate").between(F.col("low"), F.col("high"))
     return rough.join(around, "service_name").select("service_name", inside.alias("within_error"))
@@ -785,9 +855,8 @@ def w3_error_clusters(t: Tables) -> DataFrame:
 
 @query
 def w4_traffic_spikes(t: Tables) -> DataFrame:
-    # Few traces per slice, so that neighbours differ.
-    failed = traces.trace_summary(t.spans).filter((F.col("error_count") > 1))
-    return windows.traffic_spikes(tree.time_histogram(failed, 400))
+    # Many slices, so that neighbours differ.
+    return windows.traffic_spikes(tree.time_histogram(traces.trace_summary(t.spans), 5_000))
 
 
 def _anomaly_input(t: Tables) -> DataFrame:
@@ -840,7 +909,7 @@ def f7_severity(t: Tables) -> DataFrame:
 
 @query
 def f8_hash_bucket(t: Tables) -> DataFrame:
-    return t.spans.filter(S.is_root()).select("trace_id", S.hash_bucket("trace_id", "md5").alias("bucket"))
+    return t.spans.select("span_id", S.hash_bucket("trace_id", "md5").alias("bucket"))
 
 
 @query
@@ -1069,7 +1138,7 @@ def v9_active_traces(t: Tables) -> DataFrame:
 # Sampling -----------------------------------------------------------------------------------------
 @query
 def p1_uniform(t: Tables) -> DataFrame:
-    return sampling.uniform_sample(t.spans, 0.1, seed=7).select("span_id")
+    return sampling.uniform_sample(t.spans, 0.1, seed=7, method="md5").select("span_id")
 
 
 @query
@@ -1080,7 +1149,7 @@ def p2_service_rates(t: Tables) -> DataFrame:
 
 @query
 def p3_head_decision(t: Tables) -> DataFrame:
-    return t.spans.filter(S.is_root()).select("trace_id", sampling.head_decision(2_500, "md5").alias("decision"))
+    return t.spans.select("span_id", sampling.head_decision(2_500, "md5").alias("decision"))
 
 
 @query
@@ -1185,21 +1254,28 @@ def _stream(df: DataFrame) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(write_stage(df, "stream-source"))
 
 
+def _ended(df: DataFrame, time_column: str, **names: str) -> DataFrame:
+    return df.unionByName(jobs.closing_row(df, time_column, **names))
+
+
 @query
 def q1_ingest(t: Tables) -> DataFrame:
-    checked = otlp.validate_spans(otlp.flatten_spans(otlp.read_otlp(t.spark, _exported(t), stream=True)))
-    return jobs.drained(_slim(otlp.valid_spans(checked)))
+    out = new_shared_path(t.spark, "ingested")
+    requests = otlp.read_otlp(t.spark, _exported(t), stream=True)
+    jobs.start_ingest(requests, out, new_shared_path(t.spark, "ingest-state"), interval=None).awaitTermination()
+    return _slim(t.spark.read.parquet(f"{out}/spans")).drop("batch")
 
 
 @query
 def q2_metric_windows(t: Tables) -> DataFrame:
-    closed = jobs.drained(jobs.metric_windows(_stream(t.metric_points)))
+    closed = jobs.drained(jobs.metric_windows(_stream(_ended(t.metric_points, "ts_ns", service_name="end"))))
     return _window_ns(closed).withColumn("latency_sum", F.round("latency_sum", 4))
 
 
 @query
 def q3_tail_sampling(t: Tables) -> DataFrame:
-    return jobs.drained(jobs.tail_sampling(_stream(_slim(t.spans)), method="md5")).select("trace_id", "span_count", "reason", "keep")
+    spans = _ended(_slim(t.spans), "start_ns", trace_id="end")
+    return jobs.drained(jobs.tail_sampling(_stream(spans), method="md5")).select("trace_id", "span_count", "reason", "keep")
 
 
 @query
@@ -1230,5 +1306,6 @@ def q7_deduplicated(t: Tables) -> DataFrame:
 
 @query
 def q8_sliding_windows(t: Tables) -> DataFrame:
-    closed = jobs.drained(jobs.metric_windows(_stream(t.metric_points), "5 minutes", "1 minute"))
+    points = _ended(t.metric_points, "ts_ns", service_name="end")
+    closed = jobs.drained(jobs.metric_windows(_stream(points), "5 minutes", "1 minute"))
     return _window_ns(closed).withColumn("latency_sum", F.round("latency_sum", 4))

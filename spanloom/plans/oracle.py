@@ -379,13 +379,30 @@ _spans(
        CASE WHEN kind='client' THEN 2 ELSE 1 END AS arrival FROM spans""",
 )
 
+# Damaged requests: every row of the table gives a line, of three kinds.
+sql(
+    "a1_malformed",
+    """SELECT CASE event_id % 3 WHEN 0 THEN 'span' ELSE 'malformed_request' END AS outcome, event_id % 3 AS kind, count(*) AS lines
+       FROM events GROUP BY ALL""",
+)
+sql(
+    "a2_missing_time",
+    """SELECT 'user-'||CAST(user_id % 10 AS VARCHAR) AS service_name, count(*) AS points,
+       count(*) FILTER (WHERE event_id % 2 = 0) AS timed, count(*) FILTER (WHERE event_id % 2 = 1) AS stamped FROM events GROUP BY 1""",
+)
+sql(
+    "a8_hex",
+    """SELECT CASE WHEN o_orderkey = 0 THEN 'trace_id_empty_or_zero' ELSE CASE o_orderkey % 4 WHEN 1 THEN 'trace_id_not_hex' WHEN 2 THEN 'span_id_not_hex' WHEN 3 THEN 'parent_span_id_not_hex' END
+       END AS reject_reason, count(*) AS spans FROM orders GROUP BY 1""",
+)
+
 # Exports --------------------------------------------------------------------------------------------
 _spans(
     "b1_json_traces",
     f"""SELECT s.trace_id, 0 AS part, any_value(X.root_service) AS root_service, any_value(X.span_count) AS span_count,
         any_value(X.duration_ns) AS duration_ns, string_agg(span_id, ',' ORDER BY s.start_ns, span_id) AS span_ids,
         string_agg({_CODE}, ',' ORDER BY s.start_ns, span_id) AS codes
-        FROM spans s JOIN (SELECT * FROM X ORDER BY start_ns DESC, trace_id LIMIT 500) X ON X.trace_id=s.trace_id
+        FROM spans s JOIN X ON X.trace_id=s.trace_id
         GROUP BY s.trace_id""",
     _T, _SEARCH,
 )
@@ -544,10 +561,17 @@ _spans(
 _spans("g6_error_traces", f"SELECT {_HEADER} FROM X WHERE has_error ORDER BY start_ns DESC, trace_id LIMIT 500", _T, _SEARCH)
 _spans(
     "g7_slow_traces",
+    f"""SELECT {_HEADER} FROM X WHERE trace_id IN (SELECT trace_id FROM T WHERE duration_ns >= 3000000000)
+        ORDER BY duration_ns DESC, start_ns DESC, trace_id LIMIT 200""",
+    _T, _SEARCH,
+)
+_spans(
+    "g7_slow_traces_newest",
     f"""SELECT {_HEADER} FROM X WHERE trace_id IN (SELECT trace_id FROM T WHERE duration_ns >= 3000000000
         ORDER BY start_ns DESC, trace_id LIMIT 10000) ORDER BY duration_ns DESC, start_ns DESC, trace_id LIMIT 200""",
     _T, _SEARCH,
 )
+_spans("o5_checked_limit", f"SELECT {_HEADER} FROM X WHERE has_error ORDER BY start_ns DESC, trace_id LIMIT 100", _T, _SEARCH)
 _spans(
     "g7_slow_traces_whole",
     f"""SELECT {_HEADER} FROM X WHERE trace_id IN (SELECT trace_id FROM T WHERE duration_ns >= 1000000000)
@@ -688,10 +712,15 @@ _spans(
 )
 
 # Graph ----------------------------------------------------------------------------------------------
-_spans(
+sql(
     "h1_parent_child",
-    """SELECT c.trace_id, c.span_id, c.service_name, p.service_name AS parent_service
-       FROM spans c JOIN spans p ON c.trace_id=p.trace_id AND c.parent_span_id=p.span_id""",
+    """WITH l AS MATERIALIZED (
+         SELECT l_orderkey AS k, l_linenumber AS n, max(l_suppkey)%3 AS s FROM lineitem
+         WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2)
+       SELECT lpad(CAST(c.k AS VARCHAR),32,'0') AS trace_id, lpad(CAST(c.k*10+c.n AS VARCHAR),16,'0') AS span_id,
+              'svc-'||CAST(c.n AS VARCHAR)||'-'||CAST(c.s AS VARCHAR) AS service_name,
+              CASE WHEN c.n=1 THEN 'gateway' ELSE 'svc-'||CAST(p.n AS VARCHAR)||'-'||CAST(p.s AS VARCHAR) END AS parent_service
+       FROM l c LEFT JOIN l p ON p.k=c.k AND p.n=c.n-1 WHERE c.n=1 OR p.k IS NOT NULL""",
 )
 _spans("h2_service_edges", "SELECT * FROM E", _CALLS, _EDGES)
 _spans("h3_service_nodes", "SELECT * FROM N", _CALLS, _EDGES, _NODES)
@@ -802,7 +831,7 @@ _spans(
     "w4_traffic_spikes",
     """SELECT bucket, traces FROM (SELECT bucket, traces, lag(traces) OVER (ORDER BY bucket) AS b, lead(traces) OVER (ORDER BY bucket) AS a FROM H)
        WHERE traces > b*2 AND traces > a*2""",
-    _T, "T2 AS (SELECT * FROM T WHERE error_count > 1)", _histogram("T2", 400),
+    _T, _histogram("T", 5000),
 )
 _spans(
     "w5_anomalies",
@@ -829,7 +858,7 @@ sql(
        WHEN s BETWEEN 13 AND 16 THEN 'WARN' WHEN s BETWEEN 17 AND 20 THEN 'ERROR' WHEN s BETWEEN 21 AND 24 THEN 'FATAL' ELSE 'INFO' END AS severity,
        count(*) AS records FROM (SELECT event_id % 30 - 2 AS s FROM events) GROUP BY 1,2""",
 )
-_spans("f8_hash_bucket", f"SELECT trace_id, {_MD5} AS bucket FROM spans WHERE parent_span_id IS NULL")
+_spans("f8_hash_bucket", f"SELECT span_id, {_MD5} AS bucket FROM spans")
 _TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: strlen(t) > 2))"
 sql("f9_tokens", f"SELECT token, count(*) AS documents FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY 1")
 _spans(
@@ -1011,10 +1040,10 @@ _spans(
     f"""SELECT trace_id, span_id, service_name FROM (SELECT *, CASE service_name WHEN 'gateway' THEN 1.0 WHEN 'svc-1-0' THEN 0.0
         WHEN 'svc-2-1' THEN 0.5 ELSE 0.25 END AS rate FROM spans) WHERE rate >= 1 OR (rate > 0 AND {_MD5}/10000.0 < rate)""",
 )
+_spans("p1_uniform", f"SELECT span_id FROM spans WHERE {_MD5.replace('trace_id', "trace_id||span_id||'7'")} < 1000")
 _spans(
     "p3_head_decision",
-    f"""SELECT trace_id, CASE WHEN {_MD5} < 100 THEN 'keep' WHEN {_MD5} < 2500 THEN 'defer' ELSE 'drop' END AS decision
-        FROM spans WHERE parent_span_id IS NULL""",
+    f"""SELECT span_id, CASE WHEN {_MD5} < 100 THEN 'keep' WHEN {_MD5} < 2500 THEN 'defer' ELSE 'drop' END AS decision FROM spans""",
 )
 _spans("p4_tail_decisions", "SELECT trace_id, reason, keep FROM tail", _FEATURES, _TAIL)
 _spans(
@@ -1131,12 +1160,10 @@ _spans(
     f"""SELECT trace_id, span_id, parent_span_id, service_name, operation_name, start_ns+{SHIFT} AS start_ns, duration_ns, kind,
        CASE WHEN status='error' THEN 'error' ELSE 'ok' END AS status FROM spans WHERE trace_id <> repeat('0', 32)""",
 )
-_CLOSED = "(SELECT max(ts_ns)//1000000*1000000 - 300000000000 FROM points)"
-sql("q2_metric_windows", f"SELECT {_W_COLUMNS} FROM W WHERE window_end <= {_CLOSED}", _POINTS, _w(MINUTE))
+sql("q2_metric_windows", f"SELECT {_W_COLUMNS} FROM W", _POINTS, _w(MINUTE))
 _spans(
     "q3_tail_sampling",
-    """SELECT trace_id, span_count, reason, keep FROM tail JOIN (SELECT trace_id, max(start_ns) AS last FROM spans GROUP BY 1) USING (trace_id)
-       WHERE last//1000*1000 + 30000000000 <= (SELECT max(start_ns)//1000000*1000000 - 30000000000 FROM spans)""",
+    "SELECT trace_id, span_count, reason, keep FROM tail",
     _FEATURES, _TAIL,
 )
 _spans(
@@ -1153,6 +1180,6 @@ sql(
         round(coalesce(sum(value) FILTER (WHERE value>1000.0), 0.0::DOUBLE),4) AS latency_sum,
         coalesce(quantile_disc(value, 0.95) FILTER (WHERE value>1000.0), 0.0::DOUBLE) AS p95
         FROM (SELECT *, unnest([ts_ns//{MINUTE}*{MINUTE} - k*{MINUTE} for k in range(5)]) AS window_start FROM points)
-        WHERE window_start+{5 * MINUTE} <= {_CLOSED} GROUP BY ALL""",
+        GROUP BY ALL""",
     _POINTS,
 )

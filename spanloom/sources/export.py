@@ -1,7 +1,8 @@
 """Export layouts and sinks B1-B9.
 
-Nested layouts gather the spans of a trace. A trace of more than ``PART_SPANS`` spans is written in
-several parts by a hash of the span id, so no group grows with the trace.
+Nested layouts gather the spans of a trace in one document. A caller whose traces may be very large
+gives ``parts``, one number for all traces: every trace is then dealt into that many documents by a hash
+of the span id, and each document says how many there are.
 """
 
 from __future__ import annotations
@@ -10,12 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
-from spanloom.operators.traces import BROADCAST_IDS, list_trace_ids, summary_columns, trace_summary
-from spanloom.session import staged
+from spanloom.operators.traces import list_trace_ids, only_traces, summary_columns, trace_summary
 from spanloom.sources.otlp import KINDS
 
 EXPORT_LIMIT = 1_000
-PART_SPANS = 10_000
 SCOPE_NAME = "spanloom"
 
 # Codecs by compression level.
@@ -35,15 +34,11 @@ def select_traces(
     errors_only: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Trace headers and their spans; errors are picked among the listed traces."""
-    ids = list_trace_ids(spans, service, start_ns, end_ns, limit).select("trace_id")
-    if limit <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    chosen = spans.join(ids, "trace_id", "left_semi")
+    chosen = only_traces(spans, list_trace_ids(spans, service, start_ns, end_ns, limit))
     headers = summary_columns(trace_summary(chosen), search=True)
     if errors_only:
         headers = headers.filter("has_error")
-        failed = headers.select("trace_id")
-        chosen = chosen.join(F.broadcast(failed) if limit <= BROADCAST_IDS else failed, "trace_id", "left_semi")
+        chosen = only_traces(chosen, headers)
     return headers, chosen
 
 
@@ -55,19 +50,9 @@ def one_trace(spans: DataFrame, trace_id: str) -> DataFrame:
     return found
 
 
-def with_parts(spans: DataFrame, part_spans: int = PART_SPANS) -> DataFrame:
-    """Adds the part of its trace a span is written in; nearly always part 0."""
-    sizes = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > part_spans).select(
-        "trace_id", F.ceil(F.col("_n") / part_spans).cast("bigint").alias("_parts")
-    )
-    # Written, so that its true size picks the join: such traces are few.
-    large = staged(large, "large-traces")
-    return (
-        spans.join(large, "trace_id", "left")
-        .withColumn("part", F.pmod(F.xxhash64("span_id"), F.coalesce("_parts", F.lit(1).cast("bigint"))).cast("int"))
-        .drop("_parts")
-    )
+def with_parts(spans: DataFrame, parts: int = 1) -> DataFrame:
+    """Adds the part of its trace a span is written in and the number of parts; the same for all traces."""
+    return spans.withColumn("part", F.pmod(F.xxhash64("span_id"), F.lit(parts)).cast("int")).withColumn("part_count", F.lit(parts))
 
 
 # B1 -----------------------------------------------------------------------------------------------
@@ -90,17 +75,18 @@ def json_spans(spans: DataFrame) -> DataFrame:
     return spans.select("trace_id", F.to_json(F.struct(*spans.columns)).alias("json"))
 
 
-def json_traces(headers: DataFrame, spans: DataFrame) -> DataFrame:
+def json_traces(headers: DataFrame, spans: DataFrame, parts: int = 1) -> DataFrame:
     """B1: one JSON text per trace (and part): the trace header with its spans by start."""
     # Maps cannot be sorted; they travel as JSON texts inside the sort struct.
     span = F.struct(*_SPAN_FIELDS, F.to_json("attributes").alias("attributes_json"))
     nested = (
-        with_parts(spans)
+        with_parts(spans, parts)
         .groupBy("trace_id", "part")
-        .agg(F.array_sort(F.collect_list(span)).alias("sorted"))
+        .agg(F.sort_array(F.collect_list(span)).alias("sorted"))
         .select(
             "trace_id",
             "part",
+            F.lit(parts).alias("part_count"),
             F.transform(
                 "sorted",
                 lambda s: F.struct(
@@ -112,7 +98,7 @@ def json_traces(headers: DataFrame, spans: DataFrame) -> DataFrame:
     )
     header = [c for c in headers.columns if c not in ("trace_id", "services")]
     return headers.join(nested, "trace_id").select(
-        "trace_id", "part", F.to_json(F.struct("trace_id", *header, "spans")).alias("json")
+        "trace_id", "part", F.to_json(F.struct("trace_id", *header, "part", "part_count", "spans")).alias("json")
     )
 
 
@@ -149,20 +135,20 @@ def _bare_booleans(json: Column) -> Column:
     return F.regexp_replace(json, r'"type":"bool","value":"(true|false)"', r'"type":"bool","value":$1')
 
 
-def jaeger_traces(spans: DataFrame) -> DataFrame:
+def jaeger_traces(spans: DataFrame, parts: int = 1) -> DataFrame:
     """B2: one Jaeger document per trace (and part)."""
     keyed = F.struct("start_ns", "span_id", _jaeger_span().alias("span"))
     process = F.transform(
-        F.array_sort("services"),
+        F.sort_array("services"),
         lambda s: F.struct(
             s.alias("key"),
             F.struct(s.alias("serviceName"), F.array().cast("array<string>").alias("tags")).alias("value"),
         ),
     )
     return (
-        with_parts(spans)
+        with_parts(spans, parts)
         .groupBy("trace_id", "part")
-        .agg(F.array_sort(F.collect_list(keyed)).alias("keyed"), F.collect_set("service_name").alias("services"))
+        .agg(F.sort_array(F.collect_list(keyed)).alias("keyed"), F.collect_set("service_name").alias("services"))
         .select(
             "trace_id",
             "part",
@@ -195,7 +181,7 @@ def _otlp_attributes(entries: Column) -> Column:
     )
 
 
-def otlp_traces(spans: DataFrame) -> DataFrame:
+def otlp_traces(spans: DataFrame, parts: int = 1) -> DataFrame:
     """One OTLP request per trace (and part), spans grouped by service."""
     span = F.struct(
         F.col("trace_id").alias("traceId"),
@@ -211,9 +197,9 @@ def otlp_traces(spans: DataFrame) -> DataFrame:
         ),
     )
     by_service = (
-        with_parts(spans)
+        with_parts(spans, parts)
         .groupBy("trace_id", "part", "service_name")
-        .agg(F.array_sort(F.collect_list(F.struct("start_ns", "span_id", span.alias("span")))).alias("keyed"))
+        .agg(F.sort_array(F.collect_list(F.struct("start_ns", "span_id", span.alias("span")))).alias("keyed"))
     )
     resource = F.struct(
         F.array(
@@ -233,7 +219,7 @@ def otlp_traces(spans: DataFrame) -> DataFrame:
             F.struct("service_name", resource.alias("resource"), F.array(scope).alias("scopeSpans")).alias("rs"),
         )
         .groupBy("trace_id", "part")
-        .agg(F.array_sort(F.collect_list("rs")).alias("rs"))
+        .agg(F.sort_array(F.collect_list("rs")).alias("rs"))
         .select(
             "trace_id",
             "part",

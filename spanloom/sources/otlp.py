@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from spanloom import schema
 from spanloom.functions import scalars as S
@@ -32,6 +33,7 @@ STATUSES = {1: "ok", 2: "error"}
 YEAR_2000_NS = 946_684_800 * S.NS_PER_SEC
 YEAR_2100_NS = 4_102_444_800 * S.NS_PER_SEC
 MAX_TRACE_ID, MAX_SPAN_ID, MAX_SERVICE_NAME = 32, 16, 255
+_HEX = "^[0-9a-fA-F]+$"
 
 
 # A5 -----------------------------------------------------------------------------------------------
@@ -145,17 +147,49 @@ def _service(resource_map: Column, default: str) -> Column:
 
 
 # A1 -----------------------------------------------------------------------------------------------
-def read_otlp(spark: SparkSession, path: str, signal: str = "traces", stream: bool = False) -> DataFrame:
-    """OTLP/JSON requests, one per line, as nested rows."""
+_DAMAGED = "_damaged"
+
+
+def _shape(signal: str) -> StructType:
     shapes = {"traces": schema.OTLP_TRACES, "metrics": schema.OTLP_METRICS, "logs": schema.OTLP_LOGS}
+    return StructType([*shapes[signal], StructField(_DAMAGED, StringType())])
+
+
+def read_otlp(spark: SparkSession, path: str, signal: str = "traces", stream: bool = False) -> DataFrame:
+    """OTLP/JSON requests, one per line, as nested rows; see :func:`malformed_requests` for the rest."""
+    return parse_otlp(read_lines(spark, path, stream), "line", signal)
+
+
+def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """The lines of the files that are not blank, with the file each comes from."""
     reader = spark.readStream if stream else spark.read
-    return reader.schema(shapes[signal]).json(path)
+    lines = reader.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("source"))
+    return lines.filter(F.trim("line") != "")
+
+
+def _parsed(texts: DataFrame, column: str, signal: str) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _DAMAGED}
+    request = F.from_json(column, _shape(signal), options)
+    # A text that is JSON but no object gives an empty request; it is damaged too.
+    object_like = F.coalesce(F.col(column), F.lit("")).rlike(r"^\s*\{")
+    return texts.withColumn("request", request).withColumn(
+        "readable", F.col("request").isNotNull() & F.col(f"request.{_DAMAGED}").isNull() & object_like
+    )
 
 
 def parse_otlp(texts: DataFrame, column: str, signal: str = "traces") -> DataFrame:
-    """The same from a column of JSON texts."""
-    shapes = {"traces": schema.OTLP_TRACES, "metrics": schema.OTLP_METRICS, "logs": schema.OTLP_LOGS}
-    return texts.select(F.from_json(column, shapes[signal]).alias("request")).select("request.*")
+    """Requests from a column of JSON texts."""
+    good = _parsed(texts, column, signal).filter("readable")
+    return good.select("request.*").drop(_DAMAGED)
+
+
+def malformed_requests(texts: DataFrame, column: str, signal: str = "traces") -> DataFrame:
+    """The texts that are no requests, with all their columns and the reason; nothing else is lost.
+
+    Good and malformed texts together are all texts.
+    """
+    bad = _parsed(texts, column, signal).filter("not readable")
+    return bad.select(*texts.columns, F.lit("malformed_request").alias("reject_reason"))
 
 
 def _by_resource(requests: DataFrame, resources: str, scopes: str) -> DataFrame:
@@ -216,6 +250,9 @@ def reject_reason() -> Column:
     return (
         F.when(F.col("trace_id").rlike("^0*$"), "trace_id_empty_or_zero")
         .when(F.col("span_id").rlike("^0*$"), "span_id_empty_or_zero")
+        .when(~F.col("trace_id").rlike(_HEX), "trace_id_not_hex")
+        .when(~F.col("span_id").rlike(_HEX), "span_id_not_hex")
+        .when(~F.col("parent_span_id").rlike(_HEX), "parent_span_id_not_hex")
         .when(F.length("trace_id") > MAX_TRACE_ID, "trace_id_too_long")
         .when(F.length("span_id") > MAX_SPAN_ID, "span_id_too_long")
         .when(F.length("parent_span_id") > MAX_SPAN_ID, "parent_span_id_too_long")
@@ -284,7 +321,11 @@ def latest_spans(spans: DataFrame, arrival: str) -> DataFrame:
 
 # A2 -----------------------------------------------------------------------------------------------
 def flatten_metrics(requests: DataFrame) -> DataFrame:
-    """A2: gauge and sum values, histogram sums above zero, summary means. Others are skipped."""
+    """A2: gauge and sum values, histogram sums above zero, summary means. Others are skipped.
+
+    A missing time is the time of processing.
+    """
+    now = S.timestamp_to_ns(F.current_timestamp())
     metric = _by_resource(requests, "resourceMetrics", "scopeMetrics").select(
         _service(F.col("resource_attributes"), "unknown_service").alias("service_name"),
         F.explode("s.metrics").alias("m"),
@@ -314,7 +355,7 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     return (
         metric.select("service_name", F.col("m.name").alias("metric_name"), F.explode(every).alias("p"))
         .filter(F.col("p.value").isNotNull())
-        .select("p.ts_ns", "service_name", "metric_name", "p.value")
+        .select(F.coalesce(F.when(F.col("p.ts_ns") > 0, F.col("p.ts_ns")), now).alias("ts_ns"), "service_name", "metric_name", "p.value")
     )
 
 

@@ -115,10 +115,13 @@ def test_later_arrival_replaces(make_spans):
 
 def test_large_traces_are_exported_in_parts(make_spans):
     spans = make_spans(*[span("big", f"s{i}") for i in range(50)], span("small", "x"))
-    parts = export.with_parts(spans, 10).groupBy("trace_id", "part").count().collect()
-    assert {r.part for r in parts if r.trace_id == "small"} == {0}
-    big = [r["count"] for r in parts if r.trace_id == "big"]
-    assert len(big) > 1 and sum(big) == 50
+    parts = export.with_parts(spans, 5).groupBy("trace_id", "part", "part_count").count().collect()
+    assert {r.part_count for r in parts} == {5}
+    assert sum(r["count"] for r in parts if r.trace_id == "big") == 50
+    assert len([r for r in parts if r.trace_id == "big"]) == 5
+    whole = export.jaeger_traces(spans).groupBy("trace_id").count().collect()
+    assert {r["count"] for r in whole} == {1}
+    assert export.jaeger_traces(spans, 5).where("trace_id = 'big'").count() == 5
 
 
 def test_export_layouts(make_spans):
@@ -151,3 +154,26 @@ def test_partitioned_tables(spark, make_spans, tmp_path, level):
     back = spark.read.option("mergeSchema", False).parquet(path)
     assert back.count() == 3 and back.select("dt").distinct().count() == 2
     assert back.filter("dt = 20231114").count() == 2
+
+
+def test_malformed_lines_are_kept_apart(spark, tmp_path):
+    good = '{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"0af7651916cd43dd8448eb211c80319c","spanId":"b7ad6b7169203331"}]}]}]}'
+    lines = [good, good[:50], "[1, 2]", "no json", '"text"', "", "{}"]
+    (tmp_path / "in.jsonl").write_text("\n".join(lines))
+    texts = otlp.read_lines(spark, str(tmp_path))
+    bad = otlp.malformed_requests(texts, "line")
+    assert {r.line for r in bad.collect()} == {good[:50], "[1, 2]", "no json", '"text"'}
+    assert all(r.source.endswith("in.jsonl") and r.reject_reason == "malformed_request" for r in bad.collect())
+    assert otlp.parse_otlp(texts, "line").count() + bad.count() == texts.count() == 6
+    assert otlp.flatten_spans(otlp.read_otlp(spark, str(tmp_path))).count() == 1
+
+
+def test_ids_must_be_hexadecimal(spark):
+    request = (
+        '{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"%s","spanId":"%s","parentSpanId":"%s",'
+        '"startTimeUnixNano":"1700000000000000000","endTimeUnixNano":"1700000000000000001"}]}]}]}'
+    )
+    ids = [("zz", "1", ""), ("1", "x", ""), ("1", "2", "y-"), ("AB", "CD", "EF")]
+    df = spark.createDataFrame([(request % i,) for i in ids], "json string")
+    checked = otlp.validate_spans(otlp.flatten_spans(otlp.parse_otlp(df, "json")))
+    assert [r.reject_reason for r in checked.collect()] == ["trace_id_not_hex", "span_id_not_hex", "parent_span_id_not_hex", None]

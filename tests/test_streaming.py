@@ -21,8 +21,7 @@ def test_ingest_splits_good_and_bad(spark, tmp_path):
     source.mkdir()
     (source / "1.json").write_text("\n".join(json.dumps(r) for r in (otlp_request(), otlp_request(startTimeUnixNano="0"))))
     requests = otlp.read_otlp(spark, str(source), stream=True)
-    for q in jobs.start_ingest(requests, str(tmp_path / "out"), str(tmp_path / "cp"), interval=None):
-        q.awaitTermination()
+    jobs.start_ingest(requests, str(tmp_path / "out"), str(tmp_path / "cp"), interval=None).awaitTermination()
     good, bad = (spark.read.parquet(str(tmp_path / "out" / n)) for n in ("spans", "rejected"))
     assert [(r.trace_id, r.span_id) for r in good.collect()] == [(TRACE, SPAN)]
     assert [r.reject_reason for r in bad.collect()] == ["start_time_zero"]

@@ -1,3 +1,4 @@
+import pytest
 from conftest import BASE_NS, MS, built_traces, span
 
 from spanloom.operators import filters as flt
@@ -56,7 +57,9 @@ def test_list_traces_asks_every_span_or_any(make_spans):
 
 
 def test_limits():
-    assert (traces.clamp_limit(None), traces.clamp_limit(5), traces.clamp_limit(5000)) == (100, 5, 1000)
+    assert (traces.checked_limit(None), traces.checked_limit(5)) == (100, 5)
+    with pytest.raises(ValueError):
+        traces.checked_limit(5000)
 
 
 def test_filter_modes(make_spans):
