@@ -74,7 +74,7 @@ def fingerprints(df: DataFrame, short: list[int], window: int = WINDOW, gram: in
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item, n, h, window)`` of each distinct window of each item, with its fingerprints ``fps``."""
+    """``(item, n, window, words)`` of each distinct window of each item: its length, text and words."""
     items = _hashed(
         benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")), "text"
     ).where(F.size("words") > 0)
@@ -112,13 +112,10 @@ def find_hits(
     lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # at most ``window`` numbers
     short = [n for n in lengths if n < window]
 
-    def hashed_windows(n):
-        own = windows.where(F.col("n") == n).select("window", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-        return own, _grams(own, n, "g").select("window", F.lit(n).alias("n"), F.col("g")[0].alias("h"))
-
     by_hash, keys = [], []
     for n in lengths:
-        own, hashes = hashed_windows(n)
+        own = windows.where(F.col("n") == n).select("window", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+        hashes = _grams(own, n, "g").select("window", F.lit(n).alias("n"), F.col("g")[0].alias("h"))
         by_hash.append(hashes)
         if n == window:
             keys.append(fingerprints(own, [], window, gram).select(F.explode("fps").alias("fp")))

@@ -40,12 +40,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """The longest fitting rule and its verdict, or nulls; rules of one length count in their order."""
-    rule = verdict = F
-    for kind, name, start in sorted(rules, key=lambda r: -len(r[1] + r[2])):
+    """The longest fitting rule and its verdict, or nulls; of rules of one length the last counts."""
+    rule = verdict = F.lit(None).cast("string")
+    for kind, name, start in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest comes last, outermost
         fits = ((host == name) | F.endswith(host, F.lit("." + name))) & F.startswith(path, F.lit(start))
-        rule, verdict = rule.when(fits, F.lit(name + start)), verdict.when(fits, F.lit(kind))
-    return (rule, verdict) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
+        rule, verdict = F.when(fits, F.lit(name + start)).otherwise(rule), F.when(fits, F.lit(kind)).otherwise(verdict)
+    return rule, verdict
 
 
 def word_counts(texts: DataFrame, col: str) -> DataFrame:
