@@ -9,9 +9,9 @@ from spanloom.llm import (
     bpe,
     decontamination,
     language_id,
-    lm_score,
     minhash,
     neighbours,
+    ngram_score,
     substring_dedup,
     token_count,
     token_output,
@@ -52,7 +52,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return ngram_score.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
