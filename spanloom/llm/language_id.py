@@ -49,35 +49,47 @@ def words_only(text: str) -> bytes:
     return BETWEEN.sub(" ", text.lower()).encode()
 
 
+def _words(batches):
+    for batch in batches:
+        words = [words_only(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(words, pa.binary())], ["lang", "h", "words"])
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary of raw content for each language of ``labelled``.
 
     Of every language the ``TEXTS`` different texts with the smallest hashes are taken, and of those as
-    many bytes as fit into the dictionary; what is sampled depends on texts and labels only. Rows
-    without label or text play no part.
+    many bytes as fit into the dictionary: an equal share of each, and what short texts leave over goes
+    to longer ones. A text longer than its share gives one piece, at an offset by its hash. What is
+    sampled depends on texts and labels only. Rows without label or text play no part.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("text"))
     order = Window.partitionBy("lang").orderBy("h")
     chosen = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= TEXTS)
     chosen = staged(chosen.drop("k"), "training-texts")
-    texts = rows.join(sized(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(
-        F.min(F.substring("text", 1, DICTIONARY_BYTES // 8)).alias("text")
-    )
-    found: dict[str, list[bytes]] = {}
-    for r in sorted(texts.collect(), key=lambda r: (r.lang, r.h)):  # TEXTS rows of each language at most
-        found.setdefault(r.lang, []).append(words_only(r.text))
-    out = {}
-    for lang, parts in found.items():
-        share = max(DICTIONARY_BYTES // len(parts), 1)
-        spare = DICTIONARY_BYTES - sum(min(len(p), share) for p in parts)
-        kept = []
-        for p in parts:
-            more = min(max(len(p) - share, 0), spare)
+    texts = rows.join(sized(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    texts = staged(texts.mapInArrow(_words, f"lang {rows.schema['lang'].dataType.simpleString()}, h bigint, words binary"), "training-words")
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in sorted(texts.select("lang", "h", F.length("words").alias("n")).collect()):  # TEXTS rows of each language at most
+        found.setdefault(r.lang, []).append((r.h, r.n))
+    cuts = []
+    for lang, own in found.items():
+        share = max(DICTIONARY_BYTES // len(own), 1)
+        spare = DICTIONARY_BYTES - sum(min(n, share) for _, n in own)
+        for h, n in own:
+            more = min(max(n - share, 0), spare)
             spare -= more
-            kept.append(p[: min(len(p), share) + more])
-        out[lang] = b"\n".join(kept)
-    return out
+            size = min(n, share) + more
+            cuts.append((lang, h, h % (n - size + 1) + 1, size))
+    if not cuts:
+        return {}
+    at = F.broadcast(texts.sparkSession.createDataFrame(cuts, f"lang {texts.schema['lang'].dataType.simpleString()}, h bigint, start int, size int"))
+    pieces = texts.join(at, ["lang", "h"]).selectExpr("lang", "h", "substring(words, start, size) as piece")
+    out: dict[str, list[bytes]] = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r.lang, r.h)):  # DICTIONARY_BYTES of each language at most
+        out.setdefault(r.lang, []).append(bytes(r.piece))
+    return {lang: b"\n".join(parts) for lang, parts in out.items()}
 
 
 def sizes(texts: list[bytes], dictionaries: dict[str, bytes], level: int = LEVEL) -> np.ndarray:
