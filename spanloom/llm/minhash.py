@@ -242,7 +242,7 @@ def duplicate_report(documents: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``documents`` without those that are linked to one of a smaller id; rows without id stay."""
-    gone = near_duplicates(documents, id_col=id_col, text_col=text_col).where("id > component").select(F.col("id").alias(id_col))
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """``documents`` without those that are linked to one of a smaller id by shingles of ``size`` words; rows without id stay."""
+    gone = near_duplicates(documents, size, id_col=id_col, text_col=text_col).where("id > component").select(F.col("id").alias(id_col))
     return documents.join(sized(staged(gone, "duplicates")), id_col, "left_anti")
