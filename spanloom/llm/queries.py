@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import (
     bpe,
+    collocations,
     decontamination,
     language_id,
     minhash,
     neighbours,
     ngram_score,
+    periodic_runs,
+    source_mix,
     substring_dedup,
     token_count,
     token_output,
@@ -63,6 +66,18 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_report(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -74,6 +89,9 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_token_output": op9_token_output,
     "op10_neighbours": op10_neighbours,
+    "op11_source_mix": op11_source_mix,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 #: SQL of the queries that SQL can express on whole tables; the others are tested against brute force.
