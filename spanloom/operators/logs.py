@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import quantile as Q
 from spanloom.functions import scalars as S
+from spanloom.operators.intervals import interval_rows, interval_totals
 from spanloom.operators.ranked import ranked
 from spanloom.session import staged
 
@@ -180,6 +181,50 @@ def logs_around_traces(logs: DataFrame, summary: DataFrame, slice_ns: int = 60 *
     return placed.join(traces, ["service_name", "_slice"]).filter(F.col("ts_ns").between(F.col("start_ns"), F.col("end_ns"))).drop("_slice")
 
 
+def _signals(logs: DataFrame, points: DataFrame) -> DataFrame:
+    """Log records and metric points in one table: signal, service, time, text, value, failure."""
+    of_log = logs.select(
+        F.lit("log").alias("signal"), "service_name", "ts_ns", F.col("body").alias("text"), F.lit(None).cast("double").alias("value"),
+        F.col("severity").isin("ERROR", "FATAL").alias("failed"),
+    )
+    of_point = points.select(
+        F.lit("metric").alias("signal"), "service_name", "ts_ns", F.col("metric_name").alias("text"), "value", F.lit(False).alias("failed")
+    )
+    return of_log.unionByName(of_point)
+
+
+def _reach(summary: DataFrame, margin_ns: int) -> DataFrame:
+    """An interval for each trace and service: the trace's extent and a margin around it."""
+    return summary.select(
+        "trace_id", (F.col("start_ns") - margin_ns).alias("start_ns"), (F.col("end_ns") + margin_ns).alias("end_ns"),
+        F.explode("services").alias("service_name"),
+    )
+
+
+def context_rows(summary: DataFrame, logs: DataFrame, points: DataFrame, margin_ns: int = 0) -> DataFrame:
+    """The log records and metric points around each trace, of its services and within its time range."""
+    found = interval_rows(_signals(logs, points), _reach(summary, margin_ns), ["service_name"], "ts_ns")
+    return found.select("trace_id", "signal", "service_name", "ts_ns", "text", "value", "failed")
+
+
+def trace_context(summary: DataFrame, logs: DataFrame, points: DataFrame, margin_ns: int = 0) -> DataFrame:
+    """Every trace with the figures of its context.
+
+    Columns of ``summary`` and log records, failed ones, metric points, the sum of their values, first
+    and last moment. No pair of a trace and a record is made. A trace without context has zeros.
+    """
+    is_log = F.col("signal") == "log"
+    measures = {
+        "logs": is_log.cast("bigint"),
+        "log_errors": F.col("failed").cast("bigint"),
+        "points": (~is_log).cast("bigint"),
+        "value_sum": F.coalesce("value", F.lit(0.0)),
+    }
+    totals = interval_totals(_signals(logs, points), _reach(summary, margin_ns), ["service_name"], "ts_ns", measures, ["trace_id"])
+    totals = totals.withColumnsRenamed({"first_at": "context_start_ns", "last_at": "context_end_ns"})
+    return summary.join(totals, "trace_id", "left").fillna(0, list(measures))
+
+
 def cross_signal_search(
     spans: DataFrame, logs: DataFrame, points: DataFrame, query: str, limit: int = DEFAULT_LIMIT
 ) -> DataFrame:

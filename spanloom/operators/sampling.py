@@ -84,6 +84,19 @@ def tail_decisions(features: DataFrame, method: str = "xxhash64") -> DataFrame:
     return features.withColumn("reason", reason).withColumn("keep", F.col("reason") != "normal")
 
 
+def tail_reason(has_error: bool, max_span_ns: int, span_count: int, service_count: int, drawn: bool) -> str:
+    """The reason of :func:`tail_decisions` for one trace, from its features; ``drawn`` is the hash test."""
+    if has_error:
+        return "error"
+    if max_span_ns > SLOW_MS * S.NS_PER_MS:
+        return "slow"
+    if span_count > MANY_SPANS:
+        return "complex"
+    if service_count > MANY_SERVICES:
+        return "wide"
+    return "sampled" if drawn else "normal"
+
+
 def kept_spans(spans: DataFrame, decisions: DataFrame) -> DataFrame:
     """Spans of the traces that are kept."""
     return spans.join(decisions.filter("keep").select("trace_id"), "trace_id", "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import quantile as Q
@@ -12,10 +12,10 @@ from spanloom.functions import scalars as S
 from spanloom.operators import graph, logs, metrics, retention, sampling, services, traces, tree, windows
 from spanloom.operators import filters as flt
 from spanloom.operators.filters import field
-from spanloom.session import new_shared_path, write_stage
+from spanloom.session import new_shared_path, staged, write_stage
 from spanloom.sources import export, otlp
 from spanloom.sources.driver_tables import Tables
-from spanloom.streaming import jobs
+from spanloom.streaming import jobs, pending
 
 Query = Callable[[Tables], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -1065,6 +1065,33 @@ def l7_log_statistics(t: Tables) -> DataFrame:
     return logs.log_statistics(t.logs)
 
 
+#: The events begin here, and all traces are moved into their 30 days.
+EVENTS_NS = 1_704_067_200 * S.NS_PER_SEC
+
+
+def _traces_among_events(t: Tables) -> DataFrame:
+    """Traces moved into the time of the events, each of a few of their services."""
+    number = F.col("trace_id").cast("bigint")
+    start = F.lit(EVENTS_NS) + F.col("start_ns") % (30 * DAY)
+    user = F.concat(F.lit("user-"), (number % 10).cast("string"))
+    other = F.concat(F.lit("user-"), ((number + F.col("span_count")) % 10).cast("string"))
+    return traces.trace_summary(t.spans).select(
+        "trace_id", "span_count", start.alias("start_ns"), (start + F.col("duration_ns")).alias("end_ns"),
+        F.array_distinct(F.array(user, other)).alias("services"),
+    )
+
+
+@query
+def l8_trace_context(t: Tables) -> DataFrame:
+    found = logs.trace_context(_traces_among_events(t), t.logs, t.metric_points, 3600 * S.NS_PER_SEC)
+    return found.drop("services").withColumn("value_sum", F.round("value_sum", 4))
+
+
+@query
+def l8_context_rows(t: Tables) -> DataFrame:
+    return logs.context_rows(_traces_among_events(t), t.logs, t.metric_points, 3600 * S.NS_PER_SEC)
+
+
 @query
 def l8_logs_around_traces(t: Tables) -> DataFrame:
     """Sessions of the event services stand in for traces: a day of events per service."""
@@ -1262,14 +1289,39 @@ def _ended(df: DataFrame, time_column: str, **names: str) -> DataFrame:
     return df.unionByName(jobs.closing_row(df, time_column, **names))
 
 
+def _ingested(spark: SparkSession, lines: list[DataFrame], out: str) -> None:
+    """Lines written, file after file, into one folder and ingested by a job that is started again after each."""
+    source, state = new_shared_path(spark, "otlp-lines"), new_shared_path(spark, "ingest-state")
+    for part in lines:
+        part.write.mode("append").text(source)
+        stream = otlp.read_lines(spark, source, stream=True, max_files=2)
+        jobs.start_line_ingest(stream, out, state, interval=None).awaitTermination()
+
+
 @query
 def q1_ingest(t: Tables) -> DataFrame:
-    out = new_shared_path(t.spark, "ingested")
-    requests = otlp.read_otlp(t.spark, _exported(t), stream=True)
-    jobs.start_ingest(requests, out, new_shared_path(t.spark, "ingest-state"), interval=None).awaitTermination()
+    out, lines = new_shared_path(t.spark, "ingested"), t.spark.read.text(_exported(t))
+    half = F.pmod(F.xxhash64("value"), F.lit(2))
+    _ingested(t.spark, [lines.filter(half == k).repartition(3, "value") for k in range(2)], out)
     return _slim(t.spark.read.parquet(f"{out}/spans")).drop("batch")
 
 
+@query
+def a11_quarantine(t: Tables) -> DataFrame:
+    """Good spans, rejected ones and lines that are no requests, over several files and a restart."""
+    out, source = new_shared_path(t.spark, "ingested"), new_shared_path(t.spark, "otlp")
+    start = F.when(F.col("service_name") == "gateway", F.lit(0).cast("bigint")).otherwise(F.col("start_ns") + SHIFT_NS)
+    export.write_json_lines(export.otlp_traces(t.spans.withColumn("start_ns", start)), source)
+    lines = t.spark.read.text(source)
+    damaged = t.raw("customer").select(F.concat(F.lit("{"), "c_name").alias("value"))
+    _ingested(t.spark, [lines.union(damaged).repartition(3, "value"), t.raw("supplier").select(F.col("s_name").alias("value"))], out)
+    counted = [
+        t.spark.read.parquet(f"{out}/{name}").select(F.lit(name).alias("output"), reason.alias("reason"))
+        for name, reason in (("spans", F.lit(None).cast("string")), ("rejected", F.col("reject_reason")), ("malformed", F.col("reject_reason")))
+    ]
+    return counted[0].union(counted[1]).union(counted[2]).groupBy("output", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def q2_metric_windows(t: Tables) -> DataFrame:
     closed = jobs.drained(jobs.metric_windows(_stream(_ended(t.metric_points, "ts_ns", service_name="end"))))
@@ -1282,6 +1334,31 @@ def q3_tail_sampling(t: Tables) -> DataFrame:
     return jobs.drained(jobs.tail_sampling(_stream(spans), method="md5")).select("trace_id", "span_count", "reason", "keep")
 
 
+#: Replays: a file holds a year of arrivals, late spans come three years after their trace.
+_YEAR, _LATE = 365 * DAY, 3
+
+
+def _received_by_year(spans: DataFrame, late: Column) -> DataFrame:
+    """A stream of spans by the time they are received, one file and micro-batch for each year."""
+    received = F.col("start_ns") + F.when(late, F.lit(_LATE * _YEAR)).otherwise(F.lit(0))
+    placed = staged(spans.withColumn("received_ns", received), "received")
+    year, path = S.div("received_ns", _YEAR), new_shared_path(spans.sparkSession, "stream-source")
+    low, high = placed.agg(F.min(year), F.max(year)).first()
+    for k in range(low, high + 1):
+        placed.filter(year == k).coalesce(1).write.mode("append").parquet(path)
+    stream = spans.sparkSession.readStream.schema(placed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.withColumn("received_time", S.ns_to_timestamp("received_ns")).drop("received_ns")
+
+
+@query
+def q3_released_spans(t: Tables) -> DataFrame:
+    """Spans of pending traces, those of the sixth line and later arriving after the decision."""
+    late = F.substring("span_id", -1, 1).cast("int") >= 6
+    stream = _received_by_year(_slim(t.spans), late)
+    released = pending.released_spans(stream, "received_time", keep_seconds=5 * 365 * 86_400, method="md5")
+    return jobs.drained(released).select("trace_id", "span_id", "duration_ns", "reason", "keep", "late")
+
+
 @query
 def q4_event_feed(t: Tables) -> DataFrame:
     stream = _stream(_slim(t.spans))

@@ -978,6 +978,33 @@ sql(
         ON l.service_name=s.service_name AND l.ts_ns BETWEEN s.a AND s.b GROUP BY 1""",
     _LOGS, _POINTS,
 )
+_AMONG = f"""
+moved AS (
+  SELECT trace_id, span_count, 1704067200000000000 + start_ns % {30 * DAY} AS start_ns, 1704067200000000000 + start_ns % {30 * DAY} + duration_ns AS end_ns,
+         'user-'||CAST(CAST(trace_id AS BIGINT) % 10 AS VARCHAR) AS one, 'user-'||CAST((CAST(trace_id AS BIGINT)+span_count) % 10 AS VARCHAR) AS two FROM T
+),
+reach AS (
+  SELECT trace_id, start_ns - {3600 * 10**9} AS a, end_ns + {3600 * 10**9} AS b, one AS service_name FROM moved
+  UNION SELECT trace_id, start_ns - {3600 * 10**9}, end_ns + {3600 * 10**9}, two FROM moved
+),
+signals AS (
+  SELECT 'log' AS signal, service_name, ts_ns, body AS text, CAST(NULL AS DOUBLE) AS value, severity IN ('ERROR','FATAL') AS failed FROM logs
+  UNION ALL SELECT 'metric', service_name, ts_ns, metric_name, value, false FROM points
+),
+around AS (
+  SELECT r.trace_id, s.* FROM reach r JOIN signals s ON s.service_name = r.service_name AND s.ts_ns BETWEEN r.a AND r.b
+)"""
+_spans("l8_context_rows", "SELECT trace_id, signal, service_name, ts_ns, text, value, failed FROM around", _T, _LOGS, _POINTS, _AMONG)
+_spans(
+    "l8_trace_context",
+    """SELECT m.trace_id, span_count, start_ns, end_ns, coalesce(logs, 0) AS logs, coalesce(log_errors, 0) AS log_errors,
+       coalesce(points, 0) AS points, round(coalesce(value_sum, 0.0::DOUBLE), 4) AS value_sum, context_start_ns, context_end_ns
+       FROM moved m LEFT JOIN (
+         SELECT trace_id, count(*) FILTER (WHERE signal='log') AS logs, count(*) FILTER (WHERE failed) AS log_errors,
+                count(*) FILTER (WHERE signal='metric') AS points, sum(value) AS value_sum,
+                min(ts_ns) AS context_start_ns, max(ts_ns) AS context_end_ns FROM around GROUP BY 1) a ON a.trace_id = m.trace_id""",
+    _T, _LOGS, _POINTS, _AMONG,
+)
 _spans(
     "l8_cross_signal",
     """SELECT signal, service_name, ts_ns, text FROM (
@@ -1166,6 +1193,21 @@ _spans(
     "SELECT trace_id, span_count, reason, keep FROM tail",
     _FEATURES, _TAIL,
 )
+_spans(
+    "a11_quarantine",
+    """SELECT output, reason, count(*) AS "rows" FROM (
+       SELECT CASE WHEN trace_id = repeat('0', 32) OR service_name='gateway' THEN 'rejected' ELSE 'spans' END AS output,
+              CASE WHEN trace_id = repeat('0', 32) THEN 'trace_id_empty_or_zero' WHEN service_name='gateway' THEN 'start_time_zero' END AS reason FROM spans
+       UNION ALL SELECT 'malformed', 'malformed_request' FROM customer
+       UNION ALL SELECT 'malformed', 'malformed_request' FROM supplier) GROUP BY 1, 2""",
+)
+_spans(
+    "q3_released_spans",
+    """SELECT s.trace_id, s.span_id, s.duration_ns, reason, reason <> 'normal' AS keep, late FROM early_or_late s JOIN decided d ON d.trace_id = s.trace_id""",
+    "early_or_late AS (SELECT *, CAST(right(span_id, 1) AS INTEGER) >= 6 AS late FROM spans)",
+    _FEATURES.replace("FROM spans", "FROM early_or_late WHERE NOT late"),
+    _TAIL,
+)
 _spans(
     "q6_live_edges",
     """SELECT src AS "from", dst AS "to", count(*) AS call_count, count(*) FILTER (WHERE failed) AS error_count,

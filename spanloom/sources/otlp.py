@@ -160,14 +160,20 @@ def read_otlp(spark: SparkSession, path: str, signal: str = "traces", stream: bo
     return parse_otlp(read_lines(spark, path, stream), "line", signal)
 
 
-def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """The lines of the files that are not blank, with the file each comes from."""
+def read_lines(spark: SparkSession, path: str, stream: bool = False, max_files: int | None = None) -> DataFrame:
+    """The lines of the files that are not blank, with the file each comes from.
+
+    ``max_files`` bounds the files of a micro-batch of a stream.
+    """
     reader = spark.readStream if stream else spark.read
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     lines = reader.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("source"))
     return lines.filter(F.trim("line") != "")
 
 
-def _parsed(texts: DataFrame, column: str, signal: str) -> DataFrame:
+def parsed(texts: DataFrame, column: str, signal: str = "traces") -> DataFrame:
+    """All texts with their ``request`` and whether it is ``readable``; see :func:`requests_of`, :func:`unreadable`."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _DAMAGED}
     request = F.from_json(column, _shape(signal), options)
     # A text that is JSON but no object gives an empty request; it is damaged too.
@@ -179,8 +185,17 @@ def _parsed(texts: DataFrame, column: str, signal: str) -> DataFrame:
 
 def parse_otlp(texts: DataFrame, column: str, signal: str = "traces") -> DataFrame:
     """Requests from a column of JSON texts."""
-    good = _parsed(texts, column, signal).filter("readable")
-    return good.select("request.*").drop(_DAMAGED)
+    return requests_of(parsed(texts, column, signal))
+
+
+def requests_of(texts: DataFrame) -> DataFrame:
+    """The requests of :func:`parsed` texts."""
+    return texts.filter("readable").select("request.*").drop(_DAMAGED)
+
+
+def unreadable(texts: DataFrame) -> DataFrame:
+    """The :func:`parsed` texts that hold no request, with the reason."""
+    return texts.filter("not readable").drop("request", "readable").withColumn("reject_reason", F.lit("malformed_request"))
 
 
 def malformed_requests(texts: DataFrame, column: str, signal: str = "traces") -> DataFrame:
@@ -188,8 +203,7 @@ def malformed_requests(texts: DataFrame, column: str, signal: str = "traces") ->
 
     Good and malformed texts together are all texts.
     """
-    bad = _parsed(texts, column, signal).filter("not readable")
-    return bad.select(*texts.columns, F.lit("malformed_request").alias("reject_reason"))
+    return unreadable(parsed(texts, column, signal))
 
 
 def _by_resource(requests: DataFrame, resources: str, scopes: str) -> DataFrame:
