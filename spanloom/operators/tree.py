@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as S
+from spanloom.operators.ranked import look_back
 from spanloom.session import staged
 
 
@@ -128,6 +129,88 @@ def preorder(spans: DataFrame, orphans: bool = False) -> DataFrame:
     return tree.select("trace_id", "span_id", F.col("depth").alias("level"), F.col("path").alias("sort_key"))
 
 
+def tour_positions(spans: DataFrame, orphans: bool = False) -> DataFrame:
+    """V5: ``level``, pre-order ``position`` in the trace from 0, and number of spans of the ``subtree`` with its root.
+
+    Children stand in order of (start, id), parentless spans too; spans below a missing parent are left
+    out unless ``orphans``, which takes their topmost spans as roots. Spans on or below a parent cycle
+    are left out. Span ids are unique in a trace.
+
+    Every span is entered and left once. These two steps of all spans make one list per trace, in which
+    each step knows the next one; replacing it by the next one's next doubles the distance, so the number
+    of rounds is the logarithm of a trace's spans. A row holds two steps and two numbers, whatever the
+    depth and the number of children.
+    """
+    known = spans.select("trace_id", F.col("span_id").alias("up")).distinct().withColumn("_found", F.lit(True))
+    nodes = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), "start_ns")
+    top = nodes.filter(F.col("up").isNull())
+    found = nodes.filter(F.col("up").isNotNull()).join(known, ["trace_id", "up"], "left")
+    below = found.filter("_found").drop("_found")
+    if orphans:
+        lost = found.filter(F.col("_found").isNull()).withColumn("up", F.lit(None).cast(nodes.schema["up"].dataType))
+        top = top.unionByName(lost.drop("_found"))
+    nodes = staged(top.unionByName(below), "tour-spans")
+    # Seen from the end, the sibling before a span is the one that follows it.
+    after = {"after": F.col("span_id")}
+    placed = look_back(nodes, ["trace_id", "up"], [F.desc("start_ns"), F.desc("span_id")], 1, previous=after).drop("seen")
+    first = (
+        below.groupBy("trace_id", F.col("up").alias("span_id"))
+        .agg(F.min(F.struct("start_ns", "span_id")).alias("_first"))
+        .select("trace_id", "span_id", F.col("_first.span_id").alias("child"))
+    )
+    placed = placed.join(first, ["trace_id", "span_id"], "left")
+
+    def step(side: str, span: Column) -> Column:
+        return F.concat(F.lit(side), span)
+
+    enter = F.struct(
+        step("<", F.col("span_id")).alias("step"),
+        F.coalesce(step("<", F.col("child")), step(">", F.col("span_id"))).alias("next"),
+        F.lit(1).cast("bigint").alias("entered"),
+        F.lit(0).cast("bigint").alias("left"),
+    )
+    leave = F.struct(
+        step(">", F.col("span_id")).alias("step"),
+        F.coalesce(step("<", F.col("after")), step(">", F.col("up"))).alias("next"),
+        F.lit(0).cast("bigint").alias("entered"),
+        F.lit(1).cast("bigint").alias("left"),
+    )
+    steps = staged(placed.select("trace_id", F.inline(F.array(enter, leave))), "tour")
+    ended = [steps.filter(F.col("next").isNull())]
+    open_steps = steps.filter(F.col("next").isNotNull())
+    left = open_steps.count()
+    while left:
+        ahead = reduce(DataFrame.unionByName, [*ended, open_steps]).select(
+            "trace_id", F.col("step").alias("next"), F.col("next").alias("_next"), F.col("entered").alias("_entered"), F.col("left").alias("_left")
+        )
+        steps = open_steps.join(ahead, ["trace_id", "next"]).select(
+            "trace_id", "step", F.col("_next").alias("next"), (F.col("entered") + F.col("_entered")).alias("entered"), (F.col("left") + F.col("_left")).alias("left")
+        )
+        steps = staged(steps, "tour")
+        ended.append(steps.filter(F.col("next").isNull()))
+        open_steps = steps.filter(F.col("next").isNotNull())
+        before, left = left, open_steps.count()
+        if left == before:
+            break  # only cycles are open
+    # From a step to the end of the list: spans still to be entered and to be left.
+    ends = reduce(DataFrame.unionByName, ended).withColumns({"side": F.substring("step", 1, 1), "span_id": F.expr("substring(step, 2)")})
+    is_enter = F.col("side") == "<"
+    by_span = ends.groupBy("trace_id", "span_id").agg(
+        F.max(F.when(is_enter, F.col("entered"))).alias("_in"),
+        F.max(F.when(is_enter, F.col("left"))).alias("_out"),
+        F.max(F.when(~is_enter, F.col("entered"))).alias("_rest"),
+    )
+    by_span = staged(by_span, "tour-spans")
+    whole = by_span.groupBy("trace_id").agg(F.max("_in").alias("_all"))
+    return by_span.join(whole, "trace_id").select(
+        "trace_id",
+        "span_id",
+        (F.col("_out") - F.col("_in")).alias("level"),
+        (F.col("_all") - F.col("_in")).alias("position"),
+        (F.col("_in") - F.col("_rest")).alias("subtree"),
+    )
+
+
 def speed_class() -> Column:
     """V6. The bounds are fixed values, in milliseconds."""
     return (

@@ -1146,6 +1146,11 @@ def v5_preorder(t: Tables) -> DataFrame:
     return tree.preorder(t.spans)
 
 
+@query
+def v5_positions(t: Tables) -> DataFrame:
+    return tree.tour_positions(t.spans)
+
+
 @query
 def v6_speed_class(t: Tables) -> DataFrame:
     return t.spans.groupBy("service_name", tree.speed_class().alias("speed")).agg(F.count(F.lit(1)).alias("spans"))

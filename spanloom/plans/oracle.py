@@ -1041,6 +1041,13 @@ _spans(
 )
 _spans("v4_trace_depths", "SELECT trace_id, max(depth) AS max_depth FROM tree GROUP BY 1", _TREE)
 _spans("v5_preorder", "SELECT trace_id, span_id, depth AS level, keys AS sort_key FROM tree WHERE under_root", _TREE)
+_spans(
+    "v5_positions",
+    """SELECT trace_id, span_id, depth AS level, row_number() OVER (PARTITION BY trace_id ORDER BY keys) - 1 AS position,
+       (SELECT count(*) FROM tree b WHERE b.trace_id = a.trace_id AND (b.keys = a.keys OR starts_with(b.keys, a.keys||'/'))) AS subtree
+       FROM tree a WHERE under_root""",
+    _TREE,
+)
 _spans(
     "v6_speed_class",
     """SELECT service_name, CASE WHEN status='error' THEN 'error' WHEN duration_ns > 1000000000 THEN 'slow'

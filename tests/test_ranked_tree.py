@@ -83,6 +83,39 @@ def test_preorder_children_by_start(make_spans):
     assert tree.preorder(make_spans(*rows), orphans=True).count() == 5
 
 
+def plain_tour(rows, orphans=False):
+    """Positions by a walk over every trace."""
+    out, below = {}, {}
+    ids = {(r[0], r[1]) for r in rows}
+    for r in rows:
+        up = r[2] if (r[0], r[2]) in ids or r[2] is None else None if orphans else "?"
+        below.setdefault((r[0], up), []).append((r[5], r[1]))
+    for trace in {r[0] for r in rows}:
+        stack, at = [(n, 0) for n in sorted(below.get((trace, None), []), reverse=True)], 0
+        order = []
+        while stack:
+            (_, name), level = stack.pop()
+            order.append((name, level, at))
+            at += 1
+            stack += [(n, level + 1) for n in sorted(below.get((trace, name), []), reverse=True)]
+        for k, (name, level, pos) in enumerate(order):
+            size = next((j for j in range(k + 1, len(order)) if order[j][1] <= level), len(order)) - k
+            out[trace, name] = (level, pos, size)
+    return out
+
+
+def test_tour_of_a_deep_chain_a_wide_span_cycles_and_orphans(make_spans):
+    rows = [span("chain", f"n{i:05d}", f"n{i - 1:05d}" if i else None, start_ms=i) for i in range(10_000)]
+    rows += [span("wide", "top")] + [span("wide", f"c{i}", "top", start_ms=(i * 7919) % 500) for i in range(500)]
+    rows += [span("odd", "r1"), span("odd", "r2", start_ms=5), span("odd", "a", "r1"), span("odd", "b", "a"), span("odd", "lost", "gone"), span("odd", "under", "lost")]
+    rows += [span("odd", "x", "y"), span("odd", "y", "x"), span("odd", "z", "y"), span("one", "only")]
+    df = make_spans(*rows)
+    for orphans in (False, True):
+        got = {(r.trace_id, r.span_id): (r.level, r.position, r.subtree) for r in tree.tour_positions(df, orphans).collect()}
+        assert got == plain_tour(rows, orphans)
+    assert tree.tour_positions(df.limit(0)).count() == 0
+
+
 def test_self_time_may_be_negative(make_spans):
     rows = [span("t", "p", ms=100), span("t", "a", "p", ms=80), span("t", "b", "p", ms=70)]
     got = {r.span_id: r.self_ns for r in tree.self_times(make_spans(*rows)).collect()}
