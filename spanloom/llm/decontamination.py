@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.tables import keep_keys, sized, unique_rows
+from spanloom.llm.tables import keep_keys, row_key, sized, unique_rows
 from spanloom.session import staged
 
 WINDOW, GRAM = 13, 7
@@ -217,7 +217,11 @@ def hit_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``documents`` without the contaminated ones; clean documents keep all their rows and columns."""
-    bad = find_hits(documents, benchmark, id_col=id_col, text_col=text_col)
-    bad = staged(bad.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias(id_col)), "contaminated")
-    return documents.join(sized(bad), id_col, "left_anti")
+    """``documents`` without the contaminated ones; clean documents keep all their rows and columns.
+
+    Every row is judged by its own text, also rows that share an id; rows without id stay.
+    """
+    keyed = documents.withColumn("__row", row_key(documents, id_col, text_col))
+    bad = find_hits(keyed, benchmark, id_col="__row", text_col=text_col)
+    bad = staged(bad.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias("__row")), "contaminated")
+    return keyed.join(sized(bad), "__row", "left_anti").select(*documents.columns)

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from spanloom.llm import text as T
 from spanloom.llm.components import components
-from spanloom.llm.tables import keep_keys, map_batches, sized, unique_rows
+from spanloom.llm.tables import keep_keys, map_batches, order_of, row_key, sized, unique_rows
 from spanloom.session import staged
 
 SHINGLE, SHARE = 2, 80
@@ -243,6 +243,12 @@ def duplicate_report(documents: DataFrame) -> DataFrame:
 
 
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``documents`` without those that are linked to one of a smaller id by shingles of ``size`` words; rows without id stay."""
-    gone = near_duplicates(documents, size, id_col=id_col, text_col=text_col).where("id > component").select(F.col("id").alias(id_col))
-    return documents.join(sized(staged(gone, "duplicates")), id_col, "left_anti")
+    """``documents`` without those that are linked to one of a smaller id by shingles of ``size`` words.
+
+    Every row is judged by its own text, also rows that share an id; of a group all rows of its smallest
+    id stay. Rows without id stay.
+    """
+    keyed = documents.withColumn("__row", row_key(documents, id_col, text_col))
+    found = near_duplicates(keyed, size, id_col="__row", text_col=text_col)
+    gone = found.where(order_of(found, "id", "id") > order_of(found, "id", "component")).select(F.col("id").alias("__row"))
+    return keyed.join(sized(staged(gone, "duplicates")), "__row", "left_anti").select(*documents.columns)

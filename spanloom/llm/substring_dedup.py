@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import recompression as R
 from spanloom.llm import text as T
-from spanloom.llm.tables import keep_keys, map_batches, unique_rows
+from spanloom.llm.tables import keep_keys, map_batches, order_of, row_key, unique_rows
 from spanloom.session import staged
 
 WINDOW = 50
@@ -150,11 +150,15 @@ def _window_rows(texts: DataFrame, window: int) -> DataFrame:
 def repeated_windows(documents: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Runs of windows whose words also start in a row with a smaller id, and the texts they are in.
 
-    ``documents`` has ``id`` (unique) and ``text``. Returns ``(id, first, n)``: the ``n`` windows
+    ``documents`` has ``id`` (unique, or a :func:`tables.row_key`) and ``text``. Returns ``(id, first, n)``: the ``n`` windows
     that start at word ``first`` and after, and ``(id, text)`` of all rows with a shared anchor.
     """
     if window - 2 * R.margin() + 1 < R.longest_symbol():
         raise ValueError(f"windows of {window} words are too short for these rounds")
+
+    def own(column):
+        return order_of(documents, "id", column)
+
     shared = staged(
         _anchor_rows(documents, window, False)
         .groupBy("key")
@@ -171,7 +175,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW) -> tuple[DataFr
     # (The sums are written first: a join right above an aggregate can't split a hot partition.)
     by_block = staged(runs.groupBy("key", "block").agg(F.min("id").alias("least")), "block-ids")
     settled = staged(
-        runs.join(by_block, ["key", "block"]).select("key", "id", "first", "n", (F.col("id") > F.col("least")).alias("repeats")),
+        runs.join(by_block, ["key", "block"]).select("key", "id", "first", "n", (own("id") > own("least")).alias("repeats")),
         "settled-runs",
     )
     # What is left differs at one end: one row of each kind of run stands for it, window by window.
@@ -186,7 +190,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW) -> tuple[DataFr
     windows = staged(_window_rows(texts.join(open_runs, "id"), window), "windows")
     by_window = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     by_window = staged(by_window.where("least < most").drop("most"), "window-ids")
-    late = windows.join(by_window, ["w1", "w2"]).where("id > least").select("id", "first", F.lit(1).alias("n"))
+    late = windows.join(by_window, ["w1", "w2"]).where(own("id") > own("least")).select("id", "first", F.lit(1).alias("n"))
     return settled.where("repeats").select("id", "first", "n").unionByName(late), texts
 
 
@@ -287,10 +291,13 @@ def word_digests(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_
 def remove_repeats(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` with the text of those that lose words replaced by the words they keep.
 
-    All rows and columns stay, also texts of which nothing is left; those are empty.
+    All rows and columns stay, also texts of which nothing is left; those are empty. Every row is judged
+    by its own text, also rows that share an id (none of them has the smaller one); rows without id
+    stay as they are.
     """
-    lost = staged(find_repeats(documents, window, id_col, text_col).select(F.col("id").alias("__id"), F.col("kept").alias("__kept")), "cut-texts")
-    joined = documents.join(lost, F.col(id_col) == F.col("__id"), "left")
+    keyed = documents.withColumn("__row", row_key(documents, id_col, text_col))
+    lost = find_repeats(keyed, window, "__row", text_col).select(F.col("id").alias("__lost"), F.col("kept").alias("__kept"))
+    joined = keyed.join(staged(lost, "cut-texts"), F.col("__row") == F.col("__lost"), "left")
     return joined.select(
         *[F.coalesce("__kept", c).alias(c) if c == text_col else F.col(c) for c in documents.columns]
     )

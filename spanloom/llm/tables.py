@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanloom.session import staged
 
 #: Key tables up to this many rows are sent to every task; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: The field of a row's key that holds its id.
+ROW_ID = "__id"
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -44,6 +47,24 @@ def unique_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.join(sized(repeated), id_col, "left_anti").unionByName(again)
 
 
+def row_key(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows apart: their id, and where some id has several rows, id and a hash of the text.
+
+    Rows that agree in both are judged alike. The key of a row without id is null.
+    """
+    known = df.where(F.col(id_col).isNotNull())
+    if staged(known.groupBy(id_col).count().where("count > 1").select(id_col), "repeated-ids").isEmpty():
+        return F.col(id_col)
+    text = F.col(text_col)
+    return F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias(ROW_ID), F.xxhash64(text, text.isNull()).alias("text")))
+
+
+def order_of(df: DataFrame, key: str, column: str) -> Column:
+    """The id in a :func:`row_key` ``column``; ``df`` has such keys in its column ``key``."""
+    kind = df.schema[key].dataType
+    return F.col(column).getField(ROW_ID) if isinstance(kind, StructType) and ROW_ID in kind.names else F.col(column)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` of a function from one batch to several."""
 
