@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import quantile as Q
 from spanloom.functions import scalars as S
-from spanloom.operators import graph, logs, metrics, retention, sampling, services, traces, tree, windows
+from spanloom.operators import graph, logs, metrics, retention, sampling, services, summary_store, traces, tree, windows
 from spanloom.operators import filters as flt
 from spanloom.operators.filters import field
 from spanloom.session import new_shared_path, staged, write_stage
@@ -545,6 +545,33 @@ def g2_recent_traces(t: Tables) -> DataFrame:
     return flat(traces.recent_traces(t.spans, 100))
 
 
+def _kept_summary(t: Tables) -> str:
+    """A trace summary kept by a stream of three micro-batches; traces are spread over all of them."""
+    source, path = new_shared_path(t.spark, "span-source"), new_shared_path(t.spark, "trace-summary")
+    slim = staged(_slim(t.spans), "spans")
+    for k in range(3):
+        part = F.pmod(F.xxhash64("span_id"), F.lit(3)) == k
+        slim.filter(part).coalesce(1).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.start_trace_summary(stream, path, new_shared_path(t.spark, "summary-state"), unit="month", interval=None).awaitTermination()
+    return path
+
+
+@query
+def g2_kept_recent(t: Tables) -> DataFrame:
+    return flat(summary_store.recent_traces(t.spark, _kept_summary(t), 100))
+
+
+@query
+def g5_kept_list(t: Tables) -> DataFrame:
+    return flat(summary_store.list_traces(t.spark, _kept_summary(t), "gateway", AS_OF_NS - 2000 * DAY, AS_OF_NS - 100 * DAY, 1000))
+
+
+@query
+def g6_kept_errors(t: Tables) -> DataFrame:
+    return flat(summary_store.error_traces(t.spark, _kept_summary(t), 500))
+
+
 @query
 def g2_recent_of_service(t: Tables) -> DataFrame:
     return flat(traces.recent_traces(t.spans, 100, "svc-7-2"))

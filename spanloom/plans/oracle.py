@@ -559,6 +559,7 @@ _spans(
     _T, _SEARCH,
 )
 _spans("g6_error_traces", f"SELECT {_HEADER} FROM X WHERE has_error ORDER BY start_ns DESC, trace_id LIMIT 500", _T, _SEARCH)
+ORACLE |= {"g2_kept_recent": ORACLE["g2_recent_traces"], "g5_kept_list": ORACLE["g5_list_traces"], "g6_kept_errors": ORACLE["g6_error_traces"]}
 _spans(
     "g7_slow_traces",
     f"""SELECT {_HEADER} FROM X WHERE trace_id IN (SELECT trace_id FROM T WHERE duration_ns >= 3000000000)
