@@ -173,6 +173,29 @@ def smart_decisions(features: DataFrame, has_capacity: bool = True, method: str
     )
 
 
+def budgeted_decisions(
+    features: DataFrame, budget_bytes: int, used_bytes: int = 0, method: str = "xxhash64", bytes_column: str = "bytes"
+) -> DataFrame:
+    """P5 with P8: :func:`smart_decisions` of traces in start order, each against what was kept before it.
+
+    Errors, slow and anomalous traces are always kept and use the budget too. All others are kept at
+    their tier's rate until the general cut, a fifth below the budget, is reached; from there on they
+    are over budget. What is used never shrinks, so up to the cut every drawn trace was kept: one running
+    sum over the traces that are kept or drawn says where the cut falls.
+    """
+    by_rate = smart_decisions(features, method=method)
+    would_use = F.when(F.col("keep"), F.col(bytes_column)).otherwise(F.lit(0)).cast("bigint")
+    summed = prefix_sums(by_rate, [], ["start_ns", "trace_id"], {"_upto": would_use})
+    cut = budget_bytes - budget_bytes // 5
+    over = (F.col("_upto") - would_use + used_bytes >= cut) & F.col("reason").isin("sampled", "not_sampled")
+    return (
+        summed.withColumn("_over", over)
+        .withColumn("reason", F.when(F.col("_over"), "over_budget").otherwise(F.col("reason")))
+        .withColumn("keep", F.col("keep") & ~F.col("_over"))
+        .drop("_upto", "_upto_total", "_over")
+    )
+
+
 # P6 ----------------------------------------------------------------------------------------------
 def next_rate(rate: int, tps: float, error_rate: float, target_tps: float = TARGET_TPS) -> int:
     """One step of the adaptive rate, per 10 000."""

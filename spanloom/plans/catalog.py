@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import quantile as Q
 from spanloom.functions import scalars as S
-from spanloom.operators import graph, logs, metrics, retention, sampling, services, summary_store, traces, tree, windows
+from spanloom.operators import graph, logs, maintenance, metrics, retention, sampling, services, summary_store, traces, tree, windows
 from spanloom.operators import filters as flt
 from spanloom.operators.filters import field
 from spanloom.session import new_shared_path, staged, write_stage
@@ -355,6 +355,15 @@ def b8_partition_keys(t: Tables) -> DataFrame:
     return keyed.groupBy("day_key", "week_key", "hour_key", "tier").agg(F.count(F.lit(1)).alias("spans"))
 
 
+@query
+def b8_written_tiers(t: Tables) -> DataFrame:
+    """Both tiers written and read back, by month."""
+    path = new_shared_path(t.spark, "tiers")
+    export.write_tiers(_slim(t.spans), path, AS_OF_NS, "month", 365 * DAY, files_per_key=1)
+    parts = [maintenance.read_table(t.spark, f"{path}/{name}").withColumn("tier", F.lit(name)) for name in ("hot", "cold")]
+    return parts[0].unionByName(parts[1]).select("tier", "dt", "trace_id", "span_id", "service_name", "start_ns", "duration_ns")
+
+
 @query
 def b9_trace_events(t: Tables) -> DataFrame:
     return export.trace_events(t.spans)
@@ -1232,6 +1241,14 @@ def p5_smart_decisions(t: Tables) -> DataFrame:
     return sampling.smart_decisions(features, method="md5").select("trace_id", "priority", "reason", "keep")
 
 
+@query
+def p5_budgeted(t: Tables) -> DataFrame:
+    features = sampling.with_priority(sampling.with_anomaly(_anomaly_input(t)))
+    sized = features.join(sampling.sized_traces(t.spans).select("trace_id", "bytes"), "trace_id")
+    decided = sampling.budgeted_decisions(sized, 1_000_000, 100_000, method="md5")
+    return decided.select("trace_id", "priority", "bytes", "reason", "keep")
+
+
 @query
 def p6_adaptive_rates(t: Tables) -> DataFrame:
     load = sampling.load_per_interval(traces.trace_features(t.spans), 86_400)
@@ -1283,6 +1300,37 @@ def x1_expire_by_day(t: Tables) -> DataFrame:
     return retention.expire(dated, AS_OF_NS, 500 * DAY, day_column="dt").select("trace_id", "span_id")
 
 
+def _span_table(t: Tables, files: int = 2) -> str:
+    """A span table by month, written in two turns of several files."""
+    path = new_shared_path(t.spark, "span-table")
+    for k in range(2):
+        part = F.pmod(F.xxhash64("span_id"), F.lit(2)) == k
+        export.write_spans(_slim(t.spans).filter(part), path, "month", files_per_key=files)
+    return path
+
+
+@query
+def x1_expire_pruned(t: Tables) -> DataFrame:
+    """A written table after whole partitions have expired."""
+    path = _span_table(t)
+    maintenance.expire_table(t.spark, path, AS_OF_NS, 500 * DAY, "month")
+    return maintenance.read_table(t.spark, path).select("dt", "trace_id", "span_id")
+
+
+@query
+def x6_maintain_table(t: Tables) -> DataFrame:
+    """What one maintenance run does to each month of a written table."""
+    done = maintenance.maintain_table(t.spark, _span_table(t), AS_OF_NS, 5_000, 1_000 * DAY, 2 * DAY, "month")
+    return done.select("dt", "rows_before", "rows_after", F.when(F.col("action") == "kept", "compacted").otherwise(F.col("action")).alias("action"))
+
+
+@query
+def x6_maintained_rows(t: Tables) -> DataFrame:
+    path = _span_table(t)
+    maintenance.maintain_table(t.spark, path, AS_OF_NS, 5_000, 1_000 * DAY, 2 * DAY, "month")
+    return maintenance.read_table(t.spark, path).select("trace_id", "span_id")
+
+
 @query
 def x2_drop_incomplete(t: Tables) -> DataFrame:
     return retention.drop_incomplete(t.spans, AS_OF_NS - 300 * DAY).select("trace_id", "span_id")

@@ -444,6 +444,13 @@ _spans(
         CASE WHEN start_ns < {AS_OF - 365 * DAY} THEN 'cold' ELSE 'hot' END AS tier, count(*) AS spans
         FROM spans GROUP BY ALL""",
 )
+_MONTH = "strftime(make_timestamp(start_ns//1000), '%Y%m')"
+_spans(
+    "b8_written_tiers",
+    f"""SELECT CASE WHEN start_ns < {AS_OF - 365 * DAY} THEN 'cold' ELSE 'hot' END AS tier, {_MONTH} AS dt,
+        trace_id, span_id, service_name, start_ns, duration_ns FROM spans""",
+)
+_spans("x1_expire_pruned", f"SELECT {_MONTH} AS dt, trace_id, span_id FROM spans WHERE start_ns >= {AS_OF - 500 * DAY}")
 _spans(
     "b9_trace_events",
     """SELECT trace_id, max(service_name) FILTER (WHERE k=1) AS service_name, count(*) AS span_count, min(start_ns) AS ts_ns
@@ -1086,6 +1093,17 @@ _spans(
     "SELECT service_name, count(*) AS spans FROM spans WHERE trace_id IN (SELECT trace_id FROM tail WHERE keep) GROUP BY 1",
     _FEATURES, _TAIL,
 )
+_spans(
+    "p5_budgeted",
+    f"""SELECT trace_id, priority, CAST(bytes AS BIGINT) AS bytes, CASE WHEN over THEN 'over_budget' ELSE reason END AS reason,
+        reason <> 'not_sampled' AND NOT over AS keep FROM (
+        SELECT *, reason IN ('sampled','not_sampled') AND 100000 + coalesce(sum(CASE WHEN reason <> 'not_sampled' THEN bytes END) OVER
+               (ORDER BY start_ns, trace_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 800000 AS over FROM (
+        SELECT *, CASE WHEN has_error THEN 'error' WHEN duration_ms > 1000 THEN 'slow' WHEN is_anomalous THEN 'anomalous'
+          WHEN {_MD5} < CASE priority WHEN 'critical' THEN 10000 WHEN 'high' THEN 5000 WHEN 'medium' THEN 1000 ELSE 100 END
+          THEN 'sampled' ELSE 'not_sampled' END AS reason FROM prio JOIN (SELECT trace_id, sum(bytes) AS bytes FROM SB GROUP BY 1) USING (trace_id)))""",
+    _T, _BYTES, _anomalies("PARTITION BY root_service"), _PRIORITY.format(source="A"),
+)
 _spans(
     "p5_smart_decisions",
     f"""SELECT trace_id, priority, reason, reason NOT IN ('over_budget','not_sampled') AS keep FROM (
@@ -1179,14 +1197,25 @@ _spans(
     """SELECT trace_id, span_id FROM (
        SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_ns DESC, span_id DESC) AS k FROM spans) WHERE k <= 2""",
 )
-_spans(
-    "x6_maintain",
-    """SELECT trace_id, span_id FROM k3 ORDER BY start_ns DESC, trace_id, span_id LIMIT 5000""",
-    f"""
+_MAINTAINED = f"""
 k1 AS (SELECT * FROM spans WHERE start_ns >= {AS_OF - 1000 * DAY}),
 k2 AS (SELECT * FROM k1 WHERE trace_id NOT IN (SELECT trace_id FROM k1 GROUP BY 1
        HAVING count(*)=1 AND max(start_ns) < {AS_OF - 300 * 10**9})),
-k3 AS (SELECT * FROM k2 WHERE service_name IN (SELECT service_name FROM k2 GROUP BY 1 HAVING max(start_ns) > {AS_OF - 2 * DAY}))""",
+k3 AS (SELECT * FROM k2 WHERE service_name IN (SELECT service_name FROM k2 GROUP BY 1 HAVING max(start_ns) > {AS_OF - 2 * DAY}))"""
+_spans(
+    "x6_maintain",
+    """SELECT trace_id, span_id FROM k3 ORDER BY start_ns DESC, trace_id, span_id LIMIT 5000""",
+    _MAINTAINED,
+)
+ORACLE["x6_maintained_rows"] = ORACLE["x6_maintain"]
+_spans(
+    "x6_maintain_table",
+    f"""SELECT dt, count(*) AS rows_before, count(keep) AS rows_after,
+        CASE WHEN count(keep) = 0 THEN 'removed' WHEN count(keep) < count(*) THEN 'cut' ELSE 'compacted' END AS action
+        FROM (SELECT {_MONTH} AS dt, kept.span_id AS keep FROM spans s LEFT JOIN
+              (SELECT trace_id, span_id FROM k3 ORDER BY start_ns DESC, trace_id, span_id LIMIT 5000) kept
+              ON kept.trace_id = s.trace_id AND kept.span_id = s.span_id) GROUP BY dt""",
+    _MAINTAINED,
 )
 
 # Streaming: the batch result, less what the watermark has not closed yet -----------------------------

@@ -20,7 +20,7 @@ SCOPE_NAME = "spanloom"
 # Codecs by compression level.
 CODECS = {"none": "uncompressed", "fast": "lz4_raw", "balanced": "zstd", "maximum": "gzip"}
 # Date patterns of the partition keys.
-PARTITION_PATTERNS = {"hour": "yyyyMMdd_HH", "day": "yyyyMMdd"}
+PARTITION_PATTERNS = {"month": "yyyyMM", "hour": "yyyyMMdd_HH", "day": "yyyyMMdd"}
 HOT_FOR_NS = 5 * S.NS_PER_MIN
 
 
@@ -261,7 +261,7 @@ def write_json_lines(documents: DataFrame, path: str) -> None:
 
 # B8 -----------------------------------------------------------------------------------------------
 def partition_key(unit: str = "day") -> Column:
-    """``20240131``, ``20240131_17`` or the ISO week ``2024W05``."""
+    """``20240131``, ``20240131_17``, the month ``202401`` or the ISO week ``2024W05``."""
     ts = S.ns_to_timestamp("start_ns")
     if unit == "week":
         year = F.extract(F.lit("YEAROFWEEK"), ts).cast("string")
@@ -293,10 +293,13 @@ def write_spans(spans: DataFrame, path: str, unit: str = "day", level: str = "ba
     )
 
 
-def write_tiers(spans: DataFrame, path: str, as_of_ns: int, unit: str = "day") -> None:
+def write_tiers(
+    spans: DataFrame, path: str, as_of_ns: int, unit: str = "day", hot_for_ns: int = HOT_FOR_NS, files_per_key: int = 8
+) -> None:
     """Old spans with strong compression, the newest ones with fast compression."""
-    write_spans(spans.filter(tier(as_of_ns) == "cold"), f"{path}/cold", unit, "maximum")
-    write_spans(spans.filter(tier(as_of_ns) == "hot"), f"{path}/hot", unit, "fast")
+    of = tier(as_of_ns, hot_for_ns)
+    write_spans(spans.filter(of == "cold"), f"{path}/cold", unit, "maximum", files_per_key)
+    write_spans(spans.filter(of == "hot"), f"{path}/hot", unit, "fast", files_per_key)
 
 
 # B9 -----------------------------------------------------------------------------------------------
