@@ -2,9 +2,9 @@
 
 Two permutations give all signature coordinates: the first scatters the shingles over 2**32 places,
 the second, shifted by one more place for each coordinate, orders them. Bands of coordinates name
-buckets. Documents with equal sets are collapsed first. In a bucket nobody is compared with everybody:
-each document meets the smallest of its buckets, confirmed links make components, and only buckets
-that still hold several components go on, by comparing those outside of the largest one.
+buckets. Documents with equal sets are collapsed first. Each document meets the smallest of its buckets,
+and confirmed links make components. Buckets that then still hold several components are settled
+whole, in tiles: those outside of the largest component are compared with all others there.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spanloom.llm import text as T
 from spanloom.llm.components import components
@@ -23,8 +22,12 @@ from spanloom.session import staged
 SHINGLE, SHARE = 2, 80
 #: A pair of documents at the limit of 0.8 shares no band with probability (1 - 0.8**5)**30 < 7e-6.
 BANDS, BAND_ROWS = 30, 5
-#: Documents of a bucket, outside of its largest component, compared in the first further round.
-FIRST_CENTRES = 8
+#: Smallest documents of its buckets that every document meets first.
+FIRST_CENTRES = 2
+#: Shingles of a part of a bucket: two parts are compared in one task.
+TILE_NAMES = 1 << 19
+#: Documents of a tile that are compared with the others, that others are compared with, or both.
+LEFT, RIGHT, BOTH = 1, 2, 3
 #: Bytes kept of each shingle's name when two sets are compared.
 NAME_BYTES = 6
 
@@ -153,9 +156,63 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFram
     return staged(map_batches(joined, rows_of, f"a {kind}, b {kind}"), "links")
 
 
-def _fits(one: str, two: str, share: int):
-    """Sets whose sizes alone don't rule the limit out."""
-    return F.least(one, two) * 100 >= F.greatest(one, two) * share
+def _bucket_links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links between documents of one bucket that lie in different components so far, written.
+
+    ``members`` has ``(key, id, n, component)``. In a bucket, documents outside of its largest component
+    are compared with all others, whole sets with whole sets, inside one task and without a row for a
+    pair. A large bucket is cut into tiles: its documents into ``across`` parts and those outside of the
+    largest component into ``down`` parts, and every two parts meet once. One link of a document to each
+    other component is enough.
+    """
+    members = staged(members, "labelled-members")
+    by_part = members.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("names"))
+    largest = F.max(F.struct("rows", "component", "names"))
+    open_ = by_part.groupBy("key").agg(largest.alias("main"), F.sum("names").alias("names"), F.count("*").alias("parts")).where("parts > 1")
+
+    def parts(names):
+        return F.ceil(names / TILE_NAMES).cast("int")
+
+    open_ = staged(
+        open_.select("key", F.col("main.component").alias("main"), parts(F.col("names")).alias("across"), parts(F.col("names") - F.col("main.names")).alias("down")),
+        "open-buckets",
+    )
+    rows = members.join(open_, "key").withColumn("outside", F.col("component") != F.col("main"))
+    one = (F.col("across") == 1) & (F.col("down") == 1)
+    at = [F.pmod(F.xxhash64("id", F.lit(c)), F.col(c)).cast("int") for c in ("across", "down")]
+    every = [F.sequence(F.lit(0), F.col(c) - 1) for c in ("across", "down")]
+    place = [F.col("key"), F.col("id"), F.xxhash64("component").alias("part")]
+    tiles = rows.where(one).select(*place, F.lit(0).alias("t"), F.lit(0).alias("d"), F.when(F.col("outside"), BOTH).otherwise(RIGHT).alias("side"))
+    tiles = tiles.unionByName(rows.where(~one).select(*place, at[0].alias("t"), F.explode(every[1]).alias("d"), F.lit(RIGHT).alias("side")))
+    tiles = tiles.unionByName(rows.where(~one & F.col("outside")).select(*place, F.explode(every[0]).alias("t"), at[1].alias("d"), F.lit(LEFT).alias("side")))
+    kind = members.schema["id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, part = table["side"].to_numpy(), table["part"].to_numpy()
+        raw, at = T.text_bytes(table["items"])
+        names = np.unique(_numbers(raw), return_inverse=True)[1]
+        at //= NAME_BYTES
+        size = np.diff(at)
+        right = np.flatnonzero(side != LEFT)
+        marked, ones, others = np.zeros(len(names) + 1, dtype=bool), [], []
+        if len(right):
+            inside = np.repeat(side != LEFT, size)
+            theirs, heads = names[inside], np.cumsum(size[right]) - size[right]
+            for i in np.flatnonzero(side != RIGHT).tolist():
+                own = names[at[i] : at[i + 1]]
+                marked[own] = True
+                shared = np.add.reduceat(marked[theirs], heads, dtype=np.int64)
+                marked[own] = False
+                hit = right[(100 * shared >= share * (size[i] + size[right] - shared)) & (part[right] != part[i])]
+                hit = hit[np.unique(part[hit], return_index=True)[1]]
+                ones.append(np.full(len(hit), i))
+                others.append(hit)
+        pick = [pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *x])) for x in (ones, others)]
+        return pa.table([table["id"].take(p) for p in pick], ["a", "b"])
+
+    compared = tiles.join(sets, "id").groupBy("key", "t", "d").applyInArrow(run, f"a {kind}, b {kind}")
+    return staged(compared.distinct(), "bucket-links")
 
 
 def near_duplicates(
@@ -182,34 +239,10 @@ def near_duplicates(
     inside = staged(buckets.join(sized(shared), "key"), "bucket-members")
     sets = staged(_packed_sets(keep_keys(docs, staged(inside.select("id").distinct(), "bucket-ids"), ["id"]), size), "sets")
 
-    nearest = inside.where("id > centre").groupBy("id").agg(F.min("centre").alias("b")).withColumnRenamed("id", "a")
+    nearest = inside.where("id > centre").groupBy("id").agg(F.array_sort(F.collect_set("centre")).alias("centres"))
+    nearest = nearest.select(F.col("id").alias("a"), F.explode(F.slice("centres", 1, FIRST_CENTRES)).alias("b"))
     found = components(confirmed(nearest, sets, share))
-    centres, members = FIRST_CENTRES, inside.select("key", "id", "n")
-    while True:
-        members = members.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        members = staged(members, "labelled-members")
-        by_part = members.groupBy("key", "component").agg(F.count("*").alias("rows"))
-        largest = by_part.groupBy("key").agg(
-            F.max(F.struct("rows", "component")).getField("component").alias("main"), F.count("*").alias("parts")
-        )
-        largest = staged(largest.where("parts > 1").select("key", "main"), "open-buckets")
-        if largest.isEmpty():
-            break
-        members = staged(members.join(sized(largest), "key"), "open-members")
-        order = Window.partitionBy("key").orderBy("id")
-        outside = members.where("component != main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= centres)
-        outside = staged(outside.select("key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("component").alias("cc")), "bucket-centres")
-        pairs = (
-            members.join(outside, "key")
-            .where((F.col("component") != F.col("cc")) & _fits("n", "cn", share))
-            .select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b"))
-            .distinct()
-        )
-        links = confirmed(pairs, sets, share)
-        # A centre has met its whole bucket and leaves it.
-        members = members.join(outside.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti").select("key", "id", "n")
-        found = _merge(found, links)
-        centres *= 2
+    found = _merge(found, _bucket_links(inside.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), sets, share))
     label = found.select(F.col("id").alias("rep"), "component")
     named = reps.join(label, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     return sig.select("id", F.col("n").alias("n_shingles")).join(named, "id", "left").select(
