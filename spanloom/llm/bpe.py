@@ -14,7 +14,7 @@ import json
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import pretoken as P
@@ -59,33 +59,35 @@ def _symbol(token: int) -> str:
     return chr(token + FIRST_SYMBOL)
 
 
-def _rank_map(merges: dict[tuple[int, int], int]) -> Column:
+def _rank_map(spark: SparkSession, merges: dict[tuple[int, int], int]) -> Column:
     """All merges as a literal: an array of maps from a pair of symbols to its rank, dealt by a hash of the pair."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for (a, b), rank in merges.items():
         pair = _symbol(a) + _symbol(b)
         buckets[xxhash.xxh64_intdigest(pair, HASH_SEED) % BUCKETS][pair] = rank
-    return _literal(buckets, "array<map<string,int>>")
+    return _literal(spark, buckets, "array<map<string,int>>")
 
 
-def _pairs(merges: dict[tuple[int, int], int], tokens: int) -> Column:
+def _pairs(spark: SparkSession, merges: dict[tuple[int, int], int], tokens: int) -> Column:
     """By rank: the pair of symbols that merges, and the symbol it becomes."""
     pairs = [{"pair": "", "made": ""} for _ in range(tokens)]
     for (a, b), rank in merges.items():
         pairs[rank] = {"pair": _symbol(a) + _symbol(b), "made": _symbol(rank)}
-    return _literal(pairs, "array<struct<pair:string,made:string>>")
+    return _literal(spark, pairs, "array<struct<pair:string,made:string>>")
 
 
-def _token_bytes(ranks: dict[bytes, int]) -> Column:
+def _token_bytes(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     """By id: the bytes of the token, in hexadecimal."""
     tokens = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token.hex()
-    return _literal(tokens, "array<string>")
+    return _literal(spark, tokens, "array<string>")
 
 
-def _literal(value, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False)), kind)
+def _literal(spark: SparkSession, value, kind: str) -> Column:
+    """A value of any size as a constant of the plan, whose text does not hold it."""
+    text = json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+    return spark.createDataFrame([(text,)], "text string").select(F.from_json("text", kind)).scalar()
 
 
 def _let(value: Column, body) -> Column:
@@ -222,8 +224,8 @@ def encode_decode(documents: DataFrame, ranks_path: str, id_col: str = "doc_id",
         raise ValueError("the vocabulary is too large for one character per token")
     kind = documents.schema[id_col].dataType.simpleString()
     rows = _piece_rows(documents.select(id_col, text_col), byte_ids)
-    merges = merges_of(ranks)
-    rows = rows.withColumns({"rank_map": _rank_map(merges), "pairs": _pairs(merges, max(ranks.values()) + 1), "token_bytes": _token_bytes(ranks)})
+    merges, spark = merges_of(ranks), documents.sparkSession
+    rows = rows.withColumns({"rank_map": _rank_map(spark, merges), "pairs": _pairs(spark, merges, max(ranks.values()) + 1), "token_bytes": _token_bytes(spark, ranks)})
     tokens = F.transform("pieces", lambda p: fold_merges(p, F.col("rank_map"), F.col("pairs")))
     rows = rows.withColumn("tokens", tokens)
     decoded = F.transform("tokens", lambda s: decode_symbols(s, F.col("token_bytes")))
