@@ -3,8 +3,8 @@
 Two permutations give all signature coordinates: the first scatters the shingles over 2**32 places,
 the second, shifted by one more place for each coordinate, orders them. Bands of coordinates name
 buckets. Documents with equal sets are collapsed first. Each document meets the smallest of its buckets,
-and confirmed links make components. Buckets that then still hold several components are settled
-whole, in tiles: those outside of the largest component are compared with all others there.
+and confirmed links make parts of buckets. Buckets that then still hold several parts are settled
+whole, in tiles: those outside of the largest part are compared with all others there.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ SHINGLE, SHARE = 2, 80
 #: A pair of documents at the limit of 0.8 shares no band with probability (1 - 0.8**5)**30 < 7e-6.
 BANDS, BAND_ROWS = 30, 5
 #: Smallest documents of its buckets that every document meets first.
-FIRST_CENTRES = 2
+FIRST_CENTRES = 1
 #: Shingles of a part of a bucket: two parts are compared in one task.
 TILE_NAMES = 1 << 19
 #: Documents of a tile that are compared with the others, that others are compared with, or both.
@@ -136,10 +136,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFram
     """The pairs ``(a, b)`` of which the full sets meet the limit, written."""
     pairs = staged(pairs, "pairs")
     kind = pairs.schema["a"].dataType.simpleString()
-    own = [
-        keep_keys(sets, staged(pairs.select(F.col(c).alias("id")).distinct(), "pair-ids"), ["id"]).toDF(c, f"items_{c}")
-        for c in ("a", "b")
-    ]
+    own = [sets.toDF(c, f"items_{c}") for c in ("a", "b")]
 
     def rows_of(batch):
         sides = [T.text_bytes(batch.column(f"items_{c}")) for c in ("a", "b")]
@@ -157,13 +154,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFram
 
 
 def _bucket_links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links between documents of one bucket that lie in different components so far, written.
+    """Links between documents of one bucket that nothing is known to join so far, written.
 
-    ``members`` has ``(key, id, n, component)``. In a bucket, documents outside of its largest component
-    are compared with all others, whole sets with whole sets, inside one task and without a row for a
-    pair. A large bucket is cut into tiles: its documents into ``across`` parts and those outside of the
-    largest component into ``down`` parts, and every two parts meet once. One link of a document to each
-    other component is enough.
+    ``members`` has ``(key, id, n, component)``, where equal components stand for documents that links
+    join already. In a bucket, documents outside of its largest component are compared with all others,
+    whole sets with whole sets, inside one task and without a row for a pair. A large bucket is cut into
+    tiles: its documents into ``across`` parts and those outside of the largest component into ``down``
+    parts, and every two parts meet once. One link of a document to each other component is enough.
     """
     members = staged(members, "labelled-members")
     by_part = members.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("names"))
@@ -241,8 +238,12 @@ def near_duplicates(
 
     nearest = inside.where("id > centre").groupBy("id").agg(F.array_sort(F.collect_set("centre")).alias("centres"))
     nearest = nearest.select(F.col("id").alias("a"), F.explode(F.slice("centres", 1, FIRST_CENTRES)).alias("b"))
-    found = components(confirmed(nearest, sets, share))
-    found = _merge(found, _bucket_links(inside.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), sets, share))
+    links = confirmed(nearest, sets, share)
+    # What two links join is one part of a bucket; parts need not be whole components.
+    upper = links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("c"))
+    part = links.groupBy("a").agg(F.min("b").alias("b")).join(upper, "b", "left").select(F.col("a").alias("id"), F.coalesce("c", "b").alias("component"))
+    members = inside.join(staged(part, "bucket-parts"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    found = components(links.unionByName(_bucket_links(members, sets, share)))
     label = found.select(F.col("id").alias("rep"), "component")
     named = reps.join(label, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     return sig.select("id", F.col("n").alias("n_shingles")).join(named, "id", "left").select(
@@ -250,21 +251,6 @@ def near_duplicates(
     )
 
 
-def _merge(found: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after further links: links between components are components of their own."""
-    if links.isEmpty():
-        return found
-    ends = links
-    for c in ("a", "b"):
-        ends = ends.join(found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(
-            c, F.coalesce(f"c{c}", c)
-        ).drop(f"c{c}")
-    above = components(ends.select("a", "b")).select(F.col("id").alias("component"), F.col("component").alias("top"))
-    old = found.join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-    fresh = above.select(F.col("component").alias("id"), F.col("top").alias("component")).join(found.select("id"), "id", "left_anti")
-    return staged(old.unionByName(fresh), "components")
-
-
 def duplicate_report(documents: DataFrame) -> DataFrame:
     """Set size, component and whether the document stays, one row per document."""
     return near_duplicates(documents).select(
