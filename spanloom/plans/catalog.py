@@ -1414,18 +1414,18 @@ def q3_tail_sampling(t: Tables) -> DataFrame:
     return jobs.drained(jobs.tail_sampling(_stream(spans), method="md5")).select("trace_id", "span_count", "reason", "keep")
 
 
-#: Replays: a file holds a year of arrivals, late spans come three years after their trace.
-_YEAR, _LATE = 365 * DAY, 3
+#: Replays: a file holds a period of arrivals, late spans come three periods after their trace.
+_PERIOD, _LATE = 1200 * DAY, 3
 
 
-def _received_by_year(spans: DataFrame, late: Column) -> DataFrame:
-    """A stream of spans by the time they are received, one file and micro-batch for each year."""
-    received = F.col("start_ns") + F.when(late, F.lit(_LATE * _YEAR)).otherwise(F.lit(0))
+def _received_by_period(spans: DataFrame, late: Column) -> DataFrame:
+    """A stream of spans by the time they are received, one file and micro-batch for each period."""
+    received = F.col("start_ns") + F.when(late, F.lit(_LATE * _PERIOD)).otherwise(F.lit(0))
     placed = staged(spans.withColumn("received_ns", received), "received")
-    year, path = S.div("received_ns", _YEAR), new_shared_path(spans.sparkSession, "stream-source")
-    low, high = placed.agg(F.min(year), F.max(year)).first()
+    period, path = S.div("received_ns", _PERIOD), new_shared_path(spans.sparkSession, "stream-source")
+    low, high = placed.agg(F.min(period), F.max(period)).first()
     for k in range(low, high + 1):
-        placed.filter(year == k).coalesce(1).write.mode("append").parquet(path)
+        placed.filter(period == k).coalesce(1).write.mode("append").parquet(path)
     stream = spans.sparkSession.readStream.schema(placed.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return stream.withColumn("received_time", S.ns_to_timestamp("received_ns")).drop("received_ns")
 
@@ -1434,8 +1434,8 @@ def _received_by_year(spans: DataFrame, late: Column) -> DataFrame:
 def q3_released_spans(t: Tables) -> DataFrame:
     """Spans of pending traces, those of the sixth line and later arriving after the decision."""
     late = F.substring("span_id", -1, 1).cast("int") >= 6
-    stream = _received_by_year(_slim(t.spans), late)
-    released = pending.released_spans(stream, "received_time", keep_seconds=5 * 365 * 86_400, method="md5")
+    stream = _received_by_period(_slim(t.spans), late)
+    released = pending.released_spans(stream, "received_time", keep_seconds=2 * _LATE * _PERIOD // S.NS_PER_SEC, method="md5")
     return jobs.drained(released).select("trace_id", "span_id", "duration_ns", "reason", "keep", "late")
 
 
