@@ -126,28 +126,28 @@ def predict(documents: DataFrame, dictionaries: dict[str, bytes], text_col: str
             if not batch.num_rows:
                 continue
             data, offsets = T.text_bytes(batch.column(place))
-            lang = np.full(batch.num_rows, len(names))
-            score, reject = np.zeros(batch.num_rows), np.ones(batch.num_rows, dtype=bool)
             for a, z in T.chunks(offsets):
+                lang = np.full(z - a, len(names))
+                score, reject = np.zeros(z - a), np.ones(z - a, dtype=bool)
                 buf, cut = data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
                 letters = np.append(0, np.cumsum(P.byte_classes(buf) == P.LETTER))[cut]
                 some = np.flatnonzero(np.diff(letters)) if names else np.zeros(0, dtype=np.int64)
-                if not len(some):
-                    continue
-                packed = sizes([words_only(buf[cut[i] : cut[i + 1]].tobytes().decode()) for i in some], shared.value)
-                best = packed.min(axis=1, keepdims=True)
-                weight = np.exp(-BYTE_WEIGHT * (packed - best))
-                lang[a + some] = packed.argmin(axis=1)
-                score[a + some] = 1.0 / weight.sum(axis=1)
-                if len(names) > 1:
-                    second = np.partition(packed, 1, axis=1)[:, 1]
-                    reject[a + some] = second - best[:, 0] < NARROW * best[:, 0]
-                else:
-                    reject[a + some] = False
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([*names, UNKNOWN]).take(pa.array(lang)), pa.array(score), pa.array(reject)],
-                [*batch.schema.names, "lang_pred", "score", "rejected"],
-            )
+                if len(some):
+                    packed = sizes([words_only(buf[cut[i] : cut[i + 1]].tobytes().decode()) for i in some], shared.value)
+                    best = packed.min(axis=1, keepdims=True)
+                    weight = np.exp(-BYTE_WEIGHT * (packed - best))
+                    lang[some] = packed.argmin(axis=1)
+                    score[some] = 1.0 / weight.sum(axis=1)
+                    if len(names) > 1:
+                        second = np.partition(packed, 1, axis=1)[:, 1]
+                        reject[some] = second - best[:, 0] < NARROW * best[:, 0]
+                    else:
+                        reject[some] = False
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(a, z - a).columns, pa.array([*names, UNKNOWN]).take(pa.array(lang)), pa.array(score), pa.array(reject)],
+                    [*batch.schema.names, "lang_pred", "score", "rejected"],
+                )
+        pa.default_memory_pool().release_unused()
 
     return documents.mapInArrow(run, schema)
 
