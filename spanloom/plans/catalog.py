@@ -481,6 +481,12 @@ def d1_span_by_id(t: Tables) -> DataFrame:
     return _slim(traces.span_by_id(t.spans, "1234".rjust(16, "0")))
 
 
+@query
+def d1_root_span_by_id(t: Tables) -> DataFrame:
+    """A span that is there at every scale."""
+    return _slim(traces.span_by_id(t.spans, "1230".rjust(16, "0")))
+
+
 @query
 def d2_trace_spans(t: Tables) -> DataFrame:
     return _slim(traces.trace_spans(t.spans, "42".rjust(32, "0")))

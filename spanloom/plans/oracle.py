@@ -501,6 +501,7 @@ _spans("s3_distinct", "SELECT trace_id, string_agg(DISTINCT service_name, ',' OR
 
 # Lookups --------------------------------------------------------------------------------------------
 _spans("d1_span_by_id", f"SELECT {_SLIM} FROM spans WHERE span_id=lpad('1234',16,'0')")
+_spans("d1_root_span_by_id", f"SELECT {_SLIM} FROM spans WHERE span_id=lpad('1230',16,'0')")
 _spans("d2_trace_spans", f"SELECT {_SLIM} FROM spans WHERE trace_id=lpad('42',32,'0')")
 _spans("d3_service_spans", f"SELECT {_SLIM} FROM spans WHERE service_name='svc-2-1' AND start_ns >= {AS_OF - 400 * DAY}")
 _spans("d4_active_services", "SELECT service_name, max(start_ns) AS last_seen_ns FROM spans GROUP BY 1")

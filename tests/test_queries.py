@@ -13,7 +13,8 @@ g1_trace_summary g2_recent_traces g5_list_traces g7_slow_traces g9_dashboard j1_
 j18_latency_ema h2_service_edges h4_service_tiers h8_path_links h11_sequential_flow w1_newest_per_service w3_error_clusters
 w5_anomalies f9_tokens f11_pattern_positions k2_minute_windows k3_rolling_health l1_search_documents l6_retain_logs
 v1_span_depth v3_self_times v5_preorder v7_time_histogram p4_tail_decisions p6_adaptive_rates p8_budget_plan
-x4_keep_newest q2_metric_windows q3_tail_sampling""".split()
+x4_keep_newest q2_metric_windows q3_tail_sampling d1_root_span_by_id l8_trace_context v5_positions p5_budgeted b8_written_tiers
+x6_maintain_table g2_kept_recent""".split()
 NAMES = sorted(entry.queries()) if os.environ.get("ALL_QUERIES") else SHORT
 
 
