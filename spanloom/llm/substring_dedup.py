@@ -1,11 +1,12 @@
 """Removal of long word sequences that a document with a smaller id holds too.
 
-Method: recompression. Rounds of run and pair naming parse all documents alike: a symbol's name
-follows from its words alone, so every task names equal runs and pairs equally and no round needs a
-shuffle. Equal stretches are parsed equally but for a few words at their ends
-(:func:`recompression.margin`), so equal windows share the symbol borders in their middle. Each window
-takes the border whose surrounding block has the smallest name as its anchor. Anchors whose block is
-found in one document only need no more work; the others are verified on whole windows.
+Method: recompression. Rounds of run and pair naming turn all documents into symbols of several levels; a
+symbol's name follows from its words alone, so every task names equal runs and pairs equally and no round
+needs a shuffle. The symbols that a window may share with what stands outside of it are taken away level by
+level; those left inside, and those taken away, are the same for all equal windows. High-level symbols reveal
+the repeats: a window's key is the least name of five neighbouring symbols at the highest level that leaves
+it so many. Keys found in one document only need no more work. Symbols verify the others: runs of windows,
+then single windows, are compared by the names of the symbols taken away at each level and of those left.
 """
 
 from __future__ import annotations
@@ -24,20 +25,12 @@ from spanloom.session import staged
 
 WINDOW = 50
 #: Words parsed at once; longer documents are parsed in stretches that overlap by a window.
-STRETCH = 1 << 18
+STRETCH = 1 << 17
 #: Odd multipliers of the block names.
 KEY_BASE, FULL_BASES = 0x9E3779B97F4A7C15, (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _PLACE = T.U64((1 << 22) - 1)
-_NONE = T.U64(0xFFFFFFFFFFFFFFFF)
-
-
-def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
-    have, k = v, 1
-    while 2 * k <= width:
-        have = np.minimum(have[:-k], have[k:])
-        k *= 2
-    n = len(v) - width + 1
-    return np.minimum(have[:n], have[width - k : width - k + n])
+#: An anchor is a symbol with this many neighbours on either side.
+REACH = 2
 
 
 def _stretches(rows: np.ndarray, window: int) -> Iterator[tuple[int, int, int, int]]:
@@ -54,41 +47,54 @@ def _stretches(rows: np.ndarray, window: int) -> Iterator[tuple[int, int, int, i
         first = last
 
 
+def _range_min(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least value of each range, none of which is empty."""
+    power = np.frexp((high - low).astype(np.float64))[1] - 1
+    out, have = np.empty(len(low), dtype=v.dtype), v
+    for k in range(int(power.max()) + 1):
+        if k:
+            have = np.minimum(have[: -(1 << (k - 1))], have[1 << (k - 1) :])
+        at = np.flatnonzero(power == k)
+        out[at] = np.minimum(have[low[at]], have[high[at] - (1 << k)])
+    return out
+
+
 def anchors(words: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Runs of windows that share an anchor: key, block name, row, first word in the row, windows.
 
-    ``rows`` holds each row's range of ``words``. The key names the block around the anchor that
-    every one of its windows covers, the block name all words of the run's windows together.
+    ``rows`` holds each row's range of ``words``. A window rises to its highest level that leaves it
+    ``2 * REACH + 1`` symbols of its own; its key is the least name of so many symbols in a row there.
+    The block name is that of the run's words, by symbols too.
     """
-    margin = R.margin()
-    span = window - 2 * margin + 1
     out = []
     for lo, hi, first, last in _stretches(rows, window):
         part, cut = words[lo:hi], np.clip(rows[first : last + 1], lo, hi) - lo
         if len(part) < window:
             continue
         row = np.repeat(np.arange(first, last), np.diff(cut))
-        begin, end = cut[row - first], cut[row - first + 1]
-        _, border = R.parse(part, cut[:-1])
-        border = border[(border - margin >= begin[border]) & (border + margin <= end[border])]
-        blocks = T.BlockNames(part, KEY_BASE)
-        keys = np.zeros(len(part), dtype=T.U64)
-        keys[border] = blocks.name(border - margin, border + margin)
-        value = np.full(len(part), _NONE)
-        value[border] = (keys[border] & ~_PLACE) | border.astype(T.U64)
-        least = _sliding_min(value[margin:], span)
-        window_at = np.arange(min(len(least), len(part) - window + 1))
-        window_at = window_at[window_at + window <= end[window_at]]
-        place = (least[window_at] & _PLACE).astype(np.int64)
-        head = np.ones(len(place), dtype=bool)
-        head[1:] = place[1:] != place[:-1]
-        heads = np.flatnonzero(head)
+        end = cut[row - first + 1]
+        window_at = np.flatnonzero(np.arange(len(part)) + window <= end)
+        if not len(window_at):
+            continue
+        symbols = R.Symbols(part, cut[:-1])
+        level, low, high, _ = symbols.uncross(window_at, window_at + window, 2 * REACH + 1)
+        key, place = np.empty(len(level), dtype=T.U64), np.empty(len(level), dtype=np.int64)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            heads = np.arange(len(symbols.names[k]) - 2 * REACH)
+            names = T.mix(symbols.sequence(int(k), KEY_BASE).name(heads, heads + 2 * REACH + 1) + T.U64(k))
+            least = _range_min((names & ~_PLACE) | heads.astype(T.U64), low[at], high[at] - 2 * REACH)
+            least = (least & _PLACE).astype(np.int64)
+            key[at], place[at] = names[least], symbols.starts[k][least]
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = (place[1:] != place[:-1]) | (level[1:] != level[:-1]) | (window_at[1:] != window_at[:-1] + 1)
+        heads = np.flatnonzero(new)
         count = np.diff(np.append(heads, len(place)))
         start = window_at[heads]
+        _, _, _, (block,) = symbols.uncross(start, start + count + window - 1, 1, (KEY_BASE,))
         # the first word of the run relative to its anchor is part of what the block stands for
-        block = T.mix(blocks.name(start, start + count + window - 1) + (place[heads] - start).astype(T.U64))
-        in_row = start + lo - rows[row[start]]
-        out.append((keys[place[heads]], block, row[start], in_row, count))
+        block = T.mix(block + (place[heads] - start).astype(T.U64))
+        out.append((key[heads], block, row[start], start + lo - rows[row[start]], count))
     if not out:
         empty = np.zeros(0, dtype=np.int64)
         return empty.astype(T.U64), empty.astype(T.U64), empty, empty, empty
@@ -123,6 +129,23 @@ def _anchor_rows(documents: DataFrame, window: int, with_place: bool) -> DataFra
     return map_batches(documents, rows_of, schema)
 
 
+def _window_names(words: np.ndarray, rows: np.ndarray, at: np.ndarray, window: int) -> list[np.ndarray]:
+    """Two names by symbols for each of the windows that start at the words ``at``."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    names = [np.zeros(len(at), dtype=T.U64) for _ in FULL_BASES]
+    for lo, hi, first, last in _stretches(rows, window):
+        a, b = np.searchsorted(at, [lo, max(lo, hi - window + 1)])
+        if a == b:
+            continue
+        cut = np.clip(rows[first : last + 1], lo, hi) - lo
+        symbols = R.Symbols(words[lo:hi], cut[:-1])
+        _, _, _, found = symbols.uncross(at[a:b] - lo, at[a:b] - lo + window, 1, FULL_BASES)
+        for name, part in zip(names, found):
+            name[order[a:b]] = part
+    return names
+
+
 def _window_rows(texts: DataFrame, window: int) -> DataFrame:
     """Both names of every window in the given runs."""
     kind = texts.schema["id"].dataType.simpleString()
@@ -137,8 +160,7 @@ def _window_rows(texts: DataFrame, window: int) -> DataFrame:
             start = rows[row] + first
             at = np.repeat(start - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
             of = np.repeat(row, n)
-            one = T.BlockNames(names, FULL_BASES[0]).name(at, at + window)
-            two = T.BlockNames(T.mix(names), FULL_BASES[1]).name(at, at + window)
+            one, two = _window_names(names, rows, at, window)
             yield pa.RecordBatch.from_arrays(
                 [_signed(one), _signed(two), batch.column("id").take(pa.array(of + a)), pa.array(at - rows[of])],
                 ["w1", "w2", "id", "first"],

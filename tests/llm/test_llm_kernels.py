@@ -6,7 +6,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spanloom.llm import pretoken, recompression, text, token_count
+from spanloom.llm import pretoken, recompression, substring_dedup, text, token_count
 
 ODD = "aZéß1²½ \t\n\r\u00a0\u2003\u3000'\"!-_=日語🙂\u0301▁ sdtmrevl"
 texts = st.lists(st.text(st.sampled_from(ODD), max_size=40) | st.text(max_size=20), min_size=1, max_size=6)
@@ -82,3 +82,27 @@ def test_equal_windows_share_borders(window, before, after):
     alone = borders([], [])
     assert alone == borders(before, after)
     assert all(b - a <= recompression.longest_symbol() for a, b in zip(alone, alone[1:]))
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.integers(0, 3), min_size=50, max_size=110) | st.lists(st.integers(0, 40), min_size=50, max_size=110) | st.just([1] * 70),
+    st.lists(st.integers(0, 3), max_size=30),
+    st.lists(st.integers(0, 3), max_size=30),
+)
+def test_symbols_reveal_and_verify_equal_windows(words, before, after):
+    """A window has one key and one pair of names, wherever it stands; different windows have different names."""
+
+    def of(lead, tail):
+        names = text.mix(np.array([*lead, *words, *tail], dtype=np.uint64) + np.uint64(1))
+        rows = np.array([0, len(names)])
+        keys = {}
+        for key, _, _, first, n in zip(*substring_dedup.anchors(names, rows, 50)):
+            keys |= {int(first) + i - len(lead): int(key) for i in range(n)}
+        at = np.arange(len(words) - 49)[::-1]
+        return [keys[i] for i in at], list(zip(*(x.tolist() for x in substring_dedup._window_names(names, rows, at + len(lead), 50))))
+
+    alone = of([], [])
+    assert alone == of(before, after)
+    windows = [tuple(words[i : i + 50]) for i in range(len(words) - 49)][::-1]
+    assert len(set(zip(windows, alone[1]))) == len(set(windows)) == len(set(alone[1]))
