@@ -158,6 +158,7 @@ def _piece_rows(documents: DataFrame, byte_ids: np.ndarray) -> DataFrame:
                     ["fresh", "ids", "counts", "codes", "pieces"],
                 )
                 fresh = False
+        T.give_back_memory()
 
     return documents.mapInArrow(
         run, f"fresh boolean, ids array<{kind}>, counts binary, codes binary, pieces array<string>"
@@ -197,6 +198,8 @@ def _document_rows(rows: DataFrame, kind: str) -> DataFrame:
                     ],
                     ["id", "n_tokens", "ids", "decoded"],
                 )
+        ids = data = id_sizes = data_sizes = None
+        T.give_back_memory()
 
     return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary, decoded binary")
 

@@ -147,7 +147,7 @@ def predict(documents: DataFrame, dictionaries: dict[str, bytes], text_col: str
                     [*batch.slice(a, z - a).columns, pa.array([*names, UNKNOWN]).take(pa.array(lang)), pa.array(score), pa.array(reject)],
                     [*batch.schema.names, "lang_pred", "score", "rejected"],
                 )
-        pa.default_memory_pool().release_unused()
+        T.give_back_memory()
 
     return documents.mapInArrow(run, schema)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from spanloom.llm.text import give_back_memory
 from spanloom.session import staged
 
 #: Key tables up to this many rows are sent to every task; larger ones are joined by shuffle.
@@ -68,13 +69,13 @@ def order_of(df: DataFrame, key: str, column: str) -> Column:
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` of a function from one batch to several.
 
-    Python workers outlive their tasks, so each gives back the memory that Arrow keeps for later use.
+    Each task ends by giving back the memory it no longer needs (:func:`text.give_back_memory`).
     """
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
-        pa.default_memory_pool().release_unused()
+        give_back_memory()
 
     return df.mapInArrow(run, schema)

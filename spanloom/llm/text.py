@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,14 @@ LONG_WORD = 256
 WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 
+def give_back_memory() -> None:
+    """Returns what Arrow and the C library keep for later use; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def separators(chars: bytes) -> np.ndarray:
     """A 256-entry table that is true at the given ASCII bytes."""
     table = np.zeros(256, dtype=bool)
