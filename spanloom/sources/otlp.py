@@ -178,7 +178,8 @@ def parsed(texts: DataFrame, column: str, signal: str = "traces") -> DataFrame:
     request = F.from_json(column, _shape(signal), options)
     # A text that is JSON but no object gives an empty request; it is damaged too.
     object_like = F.coalesce(F.col(column), F.lit("")).rlike(r"^\s*\{")
-    return texts.withColumn("request", request).withColumn(
+    # Exploded, a request is parsed once; the tests on a plain column would each parse it again in the filter.
+    return texts.select("*", F.explode(F.array(request)).alias("request")).withColumn(
         "readable", F.col("request").isNotNull() & F.col(f"request.{_DAMAGED}").isNull() & object_like
     )
 
