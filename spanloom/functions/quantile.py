@@ -15,6 +15,7 @@ buckets in one bucket of the pass before.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ def percent_index(percent: int) -> Rank:
     return lambda n: F.call_function("div", n * F.lit(percent), F.lit(100).cast("bigint"))
 
 
+def disc_index(p: float) -> Rank:
+    """SQL's discrete percentile: the first value at or above the share ``p`` of the rows, in exact numbers."""
+    share = Fraction(str(p))
+    up, down = F.lit(share.numerator).cast("bigint"), F.lit(share.denominator).cast("bigint")
+    return lambda n: F.greatest(F.call_function("div", n * up + down - 1, down) - 1, F.lit(0).cast("bigint"))
+
+
 def sample_index(p: float) -> Rank:
     """Index ``floor((n - 1) * p)``."""
     return lambda n: F.floor((n - 1).cast("double") * F.lit(float(p))).cast("bigint")
