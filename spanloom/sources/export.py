@@ -259,7 +259,7 @@ def write_csv(spans: DataFrame, path: str) -> None:
 
 
 def write_json_lines(documents: DataFrame, path: str, compression: str = "none") -> None:
-    """One document per line; ``gzip`` takes about a fifteenth of the room, a file is then read by one task."""
+    """One document per line; a ``gzip`` file is small and read by one task."""
     documents.select(F.col("json").alias("value")).write.text(path, compression=compression)
 
 
