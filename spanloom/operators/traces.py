@@ -263,7 +263,8 @@ def search_traces(
     # A trace that starts late enough has no earlier span, so older hits can't be of use.
     hit = text_match(query) if since_ns is None else text_match(query) & (F.col("start_ns") >= since_ns)
     found = _with_hits(spans, hit)
-    return _describe(found, _top_ids(found, limit, measures, having), search=True)
+    # The ids are of traces with a hit, so describing needs no look at the hits again.
+    return _describe(spans, _top_ids(found, limit, measures, having), search=True)
 
 
 def _every_span(service: str | None, start_ns: int | None, end_ns: int | None, service_match: str):
@@ -312,7 +313,7 @@ def list_traces(
 def error_traces(spans: DataFrame, limit: int = DEFAULT_RESULTS) -> DataFrame:
     """Newest traces with an error."""
     failed = _with_hits(spans, S.is_error())
-    return _describe(failed, _top_ids(failed, limit), search=True)
+    return _describe(spans, _top_ids(failed, limit), search=True)
 
 
 def slow_traces(
