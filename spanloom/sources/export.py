@@ -52,6 +52,8 @@ def one_trace(spans: DataFrame, trace_id: str) -> DataFrame:
 
 def with_parts(spans: DataFrame, parts: int = 1) -> DataFrame:
     """Adds the part of its trace a span is written in and the number of parts; the same for all traces."""
+    if parts == 1:
+        return spans.withColumns({"part": F.lit(0), "part_count": F.lit(1)})
     return spans.withColumn("part", F.pmod(F.xxhash64("span_id"), F.lit(parts)).cast("int")).withColumn("part_count", F.lit(parts))
 
 
@@ -176,61 +178,72 @@ def _kind_code() -> Column:
 
 def _otlp_attributes(entries: Column) -> Column:
     return F.transform(
-        F.map_entries(entries),
+        entries,
         lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")),
     )
 
 
+def _runs(rows: Column, key: str) -> Column:
+    """Cuts an array of structs, sorted by ``key`` first, into arrays of equal ``key``; looks at every row twice."""
+    places = F.sequence(F.lit(1), F.size(rows))
+    starts = F.filter(places, lambda i: (i == 1) | ~F.get(rows, i - 1)[key].eqNullSafe(F.get(rows, i - 2)[key]))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(rows) + 1))
+    return F.zip_with(starts, ends, lambda start, end: F.slice(rows, start, end - start))
+
+
 def otlp_traces(spans: DataFrame, parts: int = 1) -> DataFrame:
     """One OTLP request per trace (and part), spans grouped by service.
 
-    Spans travel once, as plain columns, to the task of their document; both groupings happen there.
+    The spans of a document are gathered once, as plain values, and cut into services inside its row. Spans
+    that lie by trace already are not shuffled.
     """
-    span = F.struct(
+    span = lambda s: F.struct(
         F.col("trace_id").alias("traceId"),
-        F.col("span_id").alias("spanId"),
-        F.col("parent_span_id").alias("parentSpanId"),
-        F.col("operation_name").alias("name"),
-        _kind_code().alias("kind"),
-        F.col("start_ns").cast("string").alias("startTimeUnixNano"),
-        S.span_end_ns().cast("string").alias("endTimeUnixNano"),
-        _otlp_attributes(F.col("attributes")).alias("attributes"),
-        F.struct(F.when(S.is_error(), 2).otherwise(1).alias("code"), F.col("status_message").alias("message")).alias(
-            "status"
-        ),
+        s["span_id"].alias("spanId"),
+        s["parent_span_id"].alias("parentSpanId"),
+        s["operation_name"].alias("name"),
+        s["kind_code"].alias("kind"),
+        s["start_ns"].cast("string").alias("startTimeUnixNano"),
+        (s["start_ns"] + s["duration_ns"]).cast("string").alias("endTimeUnixNano"),
+        _otlp_attributes(s["attributes"]).alias("attributes"),
+        F.struct(s["status_code"].alias("code"), s["status_message"].alias("message")).alias("status"),
     )
-    by_service = (
-        with_parts(spans, parts)
-        .repartition("trace_id", "part")
-        .groupBy("trace_id", "part", "service_name")
-        .agg(F.sort_array(F.collect_list(F.struct("start_ns", "span_id", span.alias("span")))).alias("keyed"))
-    )
-    resource = F.struct(
+    resource = lambda name: F.struct(
         F.array(
-            F.struct(
-                F.lit("service.name").alias("key"), F.struct(F.col("service_name").alias("stringValue")).alias("value")
-            )
+            F.struct(F.lit("service.name").alias("key"), F.struct(name.alias("stringValue")).alias("value"))
         ).alias("attributes")
     )
-    scope = F.struct(
-        F.struct(F.lit(SCOPE_NAME).alias("name")).alias("scope"),
-        F.transform("keyed", lambda k: k["span"]).alias("spans"),
+    scope = lambda run: F.struct(
+        F.struct(F.lit(SCOPE_NAME).alias("name")).alias("scope"), F.transform(run, span).alias("spans")
+    )
+    # Maps cannot be sorted; they travel as entries. Services first, so that sorting groups them.
+    plain = F.struct(
+        "service_name",
+        "start_ns",
+        "span_id",
+        "parent_span_id",
+        "operation_name",
+        _kind_code().alias("kind_code"),
+        "duration_ns",
+        F.map_entries("attributes").alias("attributes"),
+        F.when(S.is_error(), 2).otherwise(1).alias("status_code"),
+        "status_message",
     )
     return (
-        by_service.select(
-            "trace_id",
-            "part",
-            F.struct("service_name", resource.alias("resource"), F.array(scope).alias("scopeSpans")).alias("rs"),
-        )
+        with_parts(spans, parts)
         .groupBy("trace_id", "part")
-        .agg(F.sort_array(F.collect_list("rs")).alias("rs"))
+        .agg(F.sort_array(F.collect_list(plain)).alias("sorted"))
+        .select("trace_id", "part", _runs(F.col("sorted"), "service_name").alias("runs"))
         .select(
             "trace_id",
             "part",
             F.to_json(
                 F.struct(
                     F.transform(
-                        "rs", lambda r: F.struct(r["resource"].alias("resource"), r["scopeSpans"].alias("scopeSpans"))
+                        "runs",
+                        lambda run: F.struct(
+                            resource(run[0]["service_name"]).alias("resource"), F.array(scope(run)).alias("scopeSpans")
+                        ),
                     ).alias("resourceSpans")
                 )
             ).alias("json"),
