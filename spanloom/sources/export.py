@@ -77,33 +77,59 @@ def json_spans(spans: DataFrame) -> DataFrame:
     return spans.select("trace_id", F.to_json(F.struct(*spans.columns)).alias("json"))
 
 
-def json_traces(headers: DataFrame, spans: DataFrame, parts: int = 1) -> DataFrame:
-    """B1: one JSON text per trace (and part): the trace header with its spans by start."""
-    # Maps cannot be sorted; they travel as JSON texts inside the sort struct.
-    span = F.struct(*_SPAN_FIELDS, F.to_json("attributes").alias("attributes_json"))
-    nested = (
+def _nested_spans(spans: DataFrame, parts: int) -> DataFrame:
+    """The spans of a trace (and part), in order of start."""
+    # Maps cannot be sorted; they travel as entries inside the sort struct.
+    span = F.struct(*_SPAN_FIELDS, F.map_entries("attributes").alias("attributes"))
+    return (
         with_parts(spans, parts)
         .groupBy("trace_id", "part")
         .agg(F.sort_array(F.collect_list(span)).alias("sorted"))
-        .select(
-            "trace_id",
-            "part",
-            F.lit(parts).alias("part_count"),
-            F.transform(
-                "sorted",
-                lambda s: F.struct(
-                    *[s[f].alias(f) for f in _SPAN_FIELDS],
-                    F.from_json(s["attributes_json"], "map<string,string>").alias("attributes"),
+        .withColumns(
+            {
+                "part_count": F.lit(parts),
+                "spans": F.transform(
+                    "sorted",
+                    lambda s: F.struct(
+                        *[s[f].alias(f) for f in _SPAN_FIELDS], F.map_from_entries(s["attributes"]).alias("attributes")
+                    ),
                 ),
-            ).alias("spans"),
+            }
         )
     )
-    header = [c for c in headers.columns if c not in ("trace_id", "services")]
-    return headers.join(nested, "trace_id").select(
+
+
+def _json_documents(nested: DataFrame, header: list[str]) -> DataFrame:
+    return nested.select(
         "trace_id", "part", F.to_json(F.struct("trace_id", *header, "part", "part_count", "spans")).alias("json")
     )
 
 
+def json_traces(headers: DataFrame, spans: DataFrame, parts: int = 1) -> DataFrame:
+    """B1: one JSON text per trace (and part): the trace header with its spans by start."""
+    header = [c for c in headers.columns if c not in ("trace_id", "services")]
+    nested = _nested_spans(spans, parts).drop("sorted")
+    return _json_documents(headers.join(nested, "trace_id"), header)
+
+
+def json_whole_traces(spans: DataFrame) -> DataFrame:
+    """B1: :func:`json_traces` in one part: the spans are all there, so the search header is read off them.
+
+    Spans that lie by trace already are not shuffled.
+    """
+    root = F.get(F.filter("sorted", lambda s: s["parent_span_id"].isNull()), F.lit(0))
+    header = {
+        "root_service": F.when(F.col("_root").isNotNull(), F.col("_root.service_name")).otherwise("unknown"),
+        "root_operation": F.when(F.col("_root").isNotNull(), F.col("_root.operation_name")).otherwise("unknown"),
+        "span_count": F.size("sorted").cast("bigint"),
+        "duration_ns": F.array_max("sorted.duration_ns"),
+        "start_ns": F.array_min("sorted.start_ns"),
+        "has_error": F.exists("sorted", lambda s: F.coalesce(s["status"] == "error", F.lit(False))),
+    }
+    nested = _nested_spans(spans.filter(F.col("trace_id").isNotNull()), 1).withColumn("_root", root)
+    return _json_documents(nested.withColumns(header), list(header))
+
+
 # B2 -----------------------------------------------------------------------------------------------
 def _jaeger_span() -> Column:
     """A span in Jaeger's layout. Values are JSON texts where the type differs by tag."""

@@ -18,7 +18,7 @@ def test_spans_by_trace_are_the_spans(spark):
     assert sorted(map(str, tables.spans_by_trace.collect())) == sorted(map(str, tables.spans.select(*tables.spans_by_trace.columns).collect()))
 
 
-@pytest.mark.parametrize("name", ["b3_otlp_export"])
+@pytest.mark.parametrize("name", ["b3_otlp_export", "b1_json_traces"])
 def test_no_shuffle_after_the_spans(spark, name):
     above, _, below = plan(catalog.CATALOG[name](Tables(spark, SF_DIR))).partition("Union")
     assert below and "Exchange" not in above
