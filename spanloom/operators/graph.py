@@ -302,8 +302,5 @@ def call_paths(spans: DataFrame) -> DataFrame:
     """Service sequence along each leaf-to-root call chain, for :func:`unusual_path`."""
     from spanloom.operators.tree import span_tree
 
-    tree = span_tree(spans, labels="service_name")
-    parents = spans.select("trace_id", F.col("parent_span_id").alias("span_id")).distinct()
-    return tree.join(parents, ["trace_id", "span_id"], "left_anti").select(
-        "trace_id", "span_id", F.split("path", "/").alias("path")
-    )
+    tree = span_tree(spans, labels="service_name", leaves=True)
+    return tree.select("trace_id", "span_id", F.split("path", "/").alias("path"))
