@@ -142,8 +142,8 @@ def exact_counts(spans: DataFrame) -> DataFrame:
 
 
 # Trace level aggregates ---------------------------------------------------------------------------
-def trace_summary(spans: DataFrame) -> DataFrame:
-    """One row per trace.
+def trace_summary(spans: DataFrame, measures: dict[str, Column] | None = None) -> DataFrame:
+    """One row per trace; ``measures`` are further aggregates of its spans.
 
     ``duration_ns`` is the extent from first start to last end, ``max_span_duration_ns`` the longest
     single span. The root is the first parentless span, or the first span when there is none.
@@ -166,6 +166,7 @@ def trace_summary(spans: DataFrame) -> DataFrame:
         F.max("duration_ns").alias("max_span_duration_ns"),
         F.count_if(S.is_error()).alias("error_count"),
         F.collect_set("service_name").alias("services"),
+        *[c.alias(n) for n, c in (measures or {}).items()],
     )
     return grouped.select(
         "trace_id",
@@ -182,6 +183,7 @@ def trace_summary(spans: DataFrame) -> DataFrame:
         (F.col("error_count") > 0).alias("has_error"),
         F.array_sort("services").alias("services"),
         F.size("services").cast("bigint").alias("service_count"),
+        *(measures or {}),
     )
 
 
