@@ -70,9 +70,10 @@ def any_value_sql(value: str, depth: int = schema.NESTING) -> str:
     )
 
 
-def _entries_sql(attributes: str, key: str = "a.key") -> str:
-    """Attributes that carry a value, as key and text; an empty array when there are none."""
-    present = f"filter({attributes}, a -> a.key is not null and a.value is not null)"
+def _entries_sql(attributes: str, key: str = "a.key", unless: str = "") -> str:
+    """Attributes that carry a value, as key and text, but for those with the key ``unless``; an empty array when there are none."""
+    other = f" and a.key <> '{unless}'" if unless else ""
+    present = f"filter({attributes}, a -> a.key is not null and a.value is not null{other})"
     return (
         f"coalesce(transform({present}, a -> named_struct('key', {key}, 'value', {any_value_sql('a.value')})),"
         f" {_NO_ENTRIES})"
@@ -82,15 +83,12 @@ def _entries_sql(attributes: str, key: str = "a.key") -> str:
 def with_first_wins(df: DataFrame, column: str) -> DataFrame:
     """Turns a column of ``key``/``value`` entries into a map in which the first of equal keys counts.
 
-    The keys get a column of their own, so they are worked out once per row and not per entry.
+    Entries whose keys all differ, and are there, are the map as they stand; only others are gone through.
     """
-    keys = f"_{column}_keys"
-    first = F.filter(column, lambda e, i: F.array_position(F.col(keys), e["key"]) == i + 1)
-    return (
-        df.withColumn(keys, F.transform(column, lambda e: e["key"]))
-        .withColumn(column, F.map_from_entries(first))
-        .drop(keys)
-    )
+    keys = F.col(f"{column}.key")
+    differ = F.size(F.array_except(keys, F.array(F.lit(None).cast("string")))) == F.size(column)
+    first = F.filter(column, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    return df.withColumn(column, F.when(differ, F.map_from_entries(column)).otherwise(F.map_from_entries(first)))
 
 
 # A6 -----------------------------------------------------------------------------------------------
@@ -199,6 +197,36 @@ def unreadable(texts: DataFrame) -> DataFrame:
     return texts.filter("not readable").drop("request", "readable").withColumn("reject_reason", F.lit("malformed_request"))
 
 
+_MALFORMED = "_malformed"
+
+
+def flatten_lines(texts: DataFrame) -> DataFrame:
+    """The spans of :func:`parsed` texts and the texts that hold no request, from one parse; see :func:`malformed_lines`.
+
+    A text without a request travels as one span without content that keeps the text.
+    """
+    requests = texts.schema["request"].dataType["resourceSpans"].dataType
+    scopes = requests.elementType["scopeSpans"].dataType
+    scope = F.struct(F.lit(None).cast(scopes.elementType["scope"].dataType).alias("scope"), F.array(F.lit(None).cast(scopes.elementType["spans"].dataType.elementType)).alias("spans"))
+    resource = F.struct(F.lit(None).cast(requests.elementType["resource"].dataType).alias("resource"), F.array(scope).alias("scopeSpans"))
+    own = F.struct(*[c for c in texts.columns if c not in ("request", "readable")])
+    rows = texts.select(
+        F.when(F.col("readable"), F.col("request.resourceSpans")).otherwise(F.array(resource)).alias("resourceSpans"),
+        F.when(~F.col("readable"), own).alias(_MALFORMED),
+    )
+    return flatten_spans(rows, [_MALFORMED])
+
+
+def span_lines(flat: DataFrame) -> DataFrame:
+    """The spans of :func:`flatten_lines`."""
+    return flat.filter(F.col(_MALFORMED).isNull()).drop(_MALFORMED)
+
+
+def malformed_lines(flat: DataFrame) -> DataFrame:
+    """The texts of :func:`flatten_lines` that hold no request, with the reason."""
+    return flat.filter(F.col(_MALFORMED).isNotNull()).select(f"{_MALFORMED}.*", F.lit("malformed_request").alias("reject_reason"))
+
+
 def malformed_requests(texts: DataFrame, column: str, signal: str = "traces") -> DataFrame:
     """The texts that are no requests, with all their columns and the reason; nothing else is lost.
 
@@ -207,24 +235,25 @@ def malformed_requests(texts: DataFrame, column: str, signal: str = "traces") ->
     return unreadable(parsed(texts, column, signal))
 
 
-def _by_resource(requests: DataFrame, resources: str, scopes: str) -> DataFrame:
-    """One row per scope, with the attributes of its resource as a map."""
-    by_resource = requests.select(F.explode(resources).alias("r")).select(
-        F.expr(_entries_sql("r.resource.attributes")).alias("resource_attributes"), F.col(f"r.{scopes}").alias("scopes")
+def _by_resource(requests: DataFrame, resources: str, scopes: str, kept: Sequence[str] = ()) -> DataFrame:
+    """One row per scope, with the attributes of its resource as a map and the ``kept`` columns."""
+    by_resource = requests.select(*kept, F.explode(resources).alias("r")).select(
+        *kept, F.expr(_entries_sql("r.resource.attributes")).alias("resource_attributes"), F.col(f"r.{scopes}").alias("scopes")
     )
     return with_first_wins(by_resource, "resource_attributes").select(
-        "resource_attributes", F.explode("scopes").alias("s")
+        *kept, "resource_attributes", F.explode("scopes").alias("s")
     )
 
 
-def flatten_spans(requests: DataFrame) -> DataFrame:
-    """One row per span, not yet validated; keeps ``end_ns`` for the checks."""
+def flatten_spans(requests: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """One row per span, not yet validated; keeps ``end_ns`` for the checks, and the ``kept`` columns."""
     span = F.col("span")
     parent = F.lower(span["parentSpanId"])
     rows = (
-        _by_resource(requests, "resourceSpans", "scopeSpans")
-        .select("resource_attributes", F.explode("s.spans").alias("span"))
+        _by_resource(requests, "resourceSpans", "scopeSpans", kept)
+        .select(*kept, "resource_attributes", F.explode("s.spans").alias("span"))
         .select(
+            *kept,
             F.lower(F.coalesce(span["traceId"], F.lit(""))).alias("trace_id"),
             F.lower(F.coalesce(span["spanId"], F.lit(""))).alias("span_id"),
             F.when(~parent.rlike("^0*$"), parent).alias("parent_span_id"),
@@ -235,7 +264,8 @@ def flatten_spans(requests: DataFrame) -> DataFrame:
             kind_name(span["kind"]).alias("kind"),
             status_name(span["status"]["code"]).alias("status"),
             span["status"]["message"].alias("message"),
-            F.expr(f"concat({_entries_sql('span.attributes')}, {event_entries_sql('span.events')})").alias("attributes"),
+            # The kind of the span goes first, so no attribute of that name counts.
+            F.expr(f"concat({_entries_sql('span.attributes', unless='span.kind')}, {event_entries_sql('span.events')})").alias("attributes"),
             "resource_attributes",
         )
         .withColumn("attributes", F.expr("concat(array(named_struct('key', 'span.kind', 'value', kind)), attributes)"))
@@ -255,6 +285,7 @@ def flatten_spans(requests: DataFrame) -> DataFrame:
         F.create_map().cast("map<string,string>").alias("tags"),
         "resource_attributes",
         "end_ns",
+        *kept,
     )
 
 
