@@ -12,6 +12,7 @@ chunks of many rows, so the calls grow with buckets and micro-batches and not wi
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,6 +41,11 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
+def _packed(rows: pd.DataFrame) -> tuple[bytes]:
+    """Rows as a chunk of state; ids and names of spans repeat, so a chunk is compressed."""
+    return (zlib.compress(pickle.dumps(rows), 1),)
+
+
 class PendingTraces(StatefulProcessor):
     """Buffers the spans of a bucket's traces, decides each when its wait is over and remembers the decision for a while."""
 
@@ -52,13 +58,13 @@ class PendingTraces(StatefulProcessor):
         self.decisions = handle.getListState("decisions", "chunk binary")
 
     def _rows(self, state) -> pd.DataFrame | None:
-        chunks = [pickle.loads(r[0]) for r in state.get()]
+        chunks = [pickle.loads(zlib.decompress(r[0])) for r in state.get()]
         return pd.concat(chunks, ignore_index=True) if chunks else None
 
     def _replace(self, state, rows: pd.DataFrame) -> None:
         state.clear()
         if len(rows):
-            state.appendValue((pickle.dumps(rows),))
+            state.appendValue(_packed(rows))
 
     def _released(self, spans: pd.DataFrame, decided: pd.DataFrame, at, late: bool) -> pd.DataFrame:
         """``spans`` with the rows of ``decided`` that stand at the positions ``at``."""
@@ -74,7 +80,7 @@ class PendingTraces(StatefulProcessor):
                     yield self._released(spans[at >= 0], decided, at[at >= 0], True)
                 spans = spans[at < 0]
             if len(spans):
-                self.spans.appendValue((pickle.dumps(spans),))
+                self.spans.appendValue(_packed(spans))
                 arrived = int(spans[_ARRIVAL].min())
                 first = arrived if first is None else min(first, arrived)
         if first is not None:
@@ -95,7 +101,7 @@ class PendingTraces(StatefulProcessor):
             waiting = spans[~due]
             if due.any():
                 made = self._decided(spans[due])
-                self.decisions.appendValue((pickle.dumps(made),))
+                self.decisions.appendValue(_packed(made))
                 at = pd.Index(made["trace_id"]).get_indexer(spans["trace_id"][due])
                 yield self._released(spans[due], made, at, False)
                 self._replace(self.spans, waiting)
